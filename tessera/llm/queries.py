@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, packing, token_orc
+from tessera.llm import bpe, common, packing, token_orc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,9 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-orc")
     token_orc.write_tokens(common.documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_orc.offsets(spark, path)
+
+
+@query
+def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
