@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, packing, token_orc
+from tessera.llm import bpe, common, media, packing, token_orc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,18 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.stored(common.documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
