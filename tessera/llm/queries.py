@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, media, packing, token_orc
+from tessera.llm import bpe, common, media, packing, secrets, token_orc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+@query
+def op4_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(common.documents(spark, sf_dir)))
