@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, media, packing, secrets, token_orc
+from tessera.llm import bpe, common, media, packing, secrets, token_orc, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,16 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(common.documents(spark, sf_dir)))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """Fitted to the labels table: low quality first, then toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.train(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+
+
+@query
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
