@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, media, packing, secrets, token_orc, toxicity
+from tessera.llm import bpe, common, knn, media, packing, secrets, token_orc, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,24 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
     return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
+@query
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return knn.top_k(table, F.col("id") % 20 == 0, k=20)
+
+
+ORACLES["op1_voronoi_knn"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
