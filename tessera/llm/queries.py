@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, knn, media, packing, secrets, token_orc, toxicity
+from tessera.llm import bpe, common, knn, media, minhash, packing, secrets, token_orc, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.documents(spark, sf_dir))
