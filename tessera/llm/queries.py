@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, knn, media, minhash, packing, secrets, token_orc, toxicity
+from tessera.llm import bpe, common, knn, media, minhash, packing, secrets, substring, token_orc, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @query
 def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+@query
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.removed(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
