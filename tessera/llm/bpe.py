@@ -29,22 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.pieces import PieceEncoder
+from tessera.llm.pieces import SPLIT, PieceEncoder, byte_of_char
 
-# Fixed value: the split pattern of byte-level BPE files.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Remembered verdicts on pairs.
 PAIRS = 500_000
 NEVER = 1 << 60
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class BacktrackingBpe:
     """A vocabulary prepared for exact encoding and decoding."""
 

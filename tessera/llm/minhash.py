@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(star, docs)
     # several rows of one doc_id may be in several sets: they are one document
     same = some.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n")).join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "node")
-    own = same.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    links = links.unionByName(own.where("low < high").select(F.col("high").alias("a"), F.col("low").alias("b")))
+    several = same.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    links = links.unionByName(same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     found = components.components(links)
     more = confirmed(rest(buckets, nodes, found).join(star, ["a", "b"], "left_anti"), docs)
     if not more.isEmpty():

@@ -9,6 +9,7 @@ of the text.  A piece's ids are computed once per worker while it stays in the m
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -16,12 +17,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of one memo generation; there are two at most.
 MEMO = 250_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: the split pattern of byte-level BPE files.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class PieceEncoder:
@@ -70,20 +81,71 @@ class PieceEncoder:
         return (self.encode_pieces([first])[0] if first else b"") + b"".join(ids)
 
 
+#: Characters up to here are split by the pattern, whose classes are the same in every library version for them.
+_LATIN_END = "\u0370"
+
+
+def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
+    """How a tokenizer file's texts fall into pretokens: all matches of its pattern, and whether it lower-cases.
+
+    None for files of another make; their pieces go through the library whole.
+    """
+    pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    kinds = [n.get("type") for n in (normal or {}).get("normalizers", [normal] if normal else [])]
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kinds:
+        return regex.compile(SPLIT).findall, False
+    steps = pre.get("pretokenizers", [])
+    if [p.get("type") for p in steps] == ["Split", "ByteLevel"] and kinds == ["NFC", "Replace", "Lowercase"]:
+        cut, byte_level = steps
+        if cut["behavior"] == "Removed" and cut["invert"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
+            return regex.compile(cut["pattern"]["Regex"]).findall, True
+    return None
+
+
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
-    """An encoder whose ids come from the tokenizers library; one per worker and file."""
+    """An encoder whose ids come from the tokenizers library; one per worker and file.
+
+    Pieces of Latin text are split by the file's own pattern, and the library's model merges each
+    distinct pretoken once; other pieces, and those with a special token, go through it whole.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = special_as_text
-
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    rule = split_rule(spec)
+    special = [t["content"] for t in spec.get("added_tokens", [])]
+    to_char = {b: c for c, b in byte_of_char().items()}
+    model, normal = tokenizer.model.tokenize, tokenizer.normalizer
+    known: dict[str, bytes] = {}
+
+    def whole(pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
-    return PieceEncoder(encode_pieces)
+    def merged(pretoken: str) -> bytes:
+        chars = pretoken.translate(to_char) if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(to_char)
+        if len(known) >= MEMO:
+            known.clear()
+        known[pretoken] = ids = array("I", [t.id for t in model(chars)]).tobytes()
+        return ids
+
+    def split(pieces: list[str]) -> list[bytes]:
+        find, lower = rule
+        found = []
+        for piece in pieces:
+            if not piece.isascii() and max(piece) >= _LATIN_END or special and not special_as_text and any(x in piece for x in special):
+                found += whole([piece])
+                continue
+            if lower:
+                piece = piece.lower() if piece.isascii() else normal.normalize_str(piece)
+            found.append(b"".join([known.get(t) or merged(t) for t in find(piece)]))
+        return found
+
+    return PieceEncoder(split if rule else whole)
 
 
 def list_of_ids(ids: list[bytes]) -> pa.ListArray:

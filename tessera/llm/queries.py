@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, knn, media, minhash, packing, secrets, substring, token_orc, toxicity
+from tessera.llm import bpe, common, knn, media, minhash, packing, secrets, substring, token_count, token_orc, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,9 @@ def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.removed(common.documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the document's place: file, ordinal and start."""
+    return token_count.counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), separator=50256)

@@ -10,8 +10,8 @@ doc_ids that come first by hash.  Everything is scored.
 
 Defined results: null and empty text has no words and gets the models' base
 probability; a null doc_id is scored and never used for training; a doc_id with
-several label rows has a category if one of them says so; without labels, or with
-one class only, a category's probability is that class; rows are scored once each;
+several label rows has a category if one of them says so; without labels a
+category's probability is 0, with one class only it is that class; rows are scored once each;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -75,7 +75,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column of x is the constant."""
-    if y.min(initial=1) == y.max(initial=0):
+    if len(np.unique(y)) < 2:
         return np.concatenate([np.zeros(x.shape[1] - 1), [40.0 if len(y) and y[0] else -40.0]])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
