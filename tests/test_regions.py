@@ -14,7 +14,7 @@ from tessera.operators import bounds, filters, grid, scoring, selection, windows
 
 
 def table(spark, points):
-    return spark.createDataFrame([(i, float(x), float(y), k, s) for i, (x, y, k, s) in enumerate(points)], "id bigint, lon double, lat double, keywords string, score double")
+    return spark.createDataFrame([(i, float(x), float(y), k, float(s)) for i, (x, y, k, s) in enumerate(points)], "id bigint, lon double, lat double, keywords string, score double")
 
 
 def brute_windows(points, eps):
