@@ -12,6 +12,9 @@ from tessera import model
 from tessera.model import RegionQuery, absent
 from tessera.operators import bounds, filters, scoring, selection, windows
 
+#: Cells, for each region asked for, whose windows are formed first to raise the threshold.
+HEAVIEST = 16
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors both write; a folder of our own only where the session names none."""
@@ -38,7 +41,11 @@ def selected(points: DataFrame, query: RegionQuery) -> DataFrame:
 
 
 def candidates_for(weights: DataFrame, query: RegionQuery) -> DataFrame:
-    """Windows that may be among the results: those that reach the threshold, where no weight is negative."""
+    """Windows that may be among the results: those that reach the threshold, where no weight is negative.
+
+    The threshold comes from cell sums first, then, larger as a rule, from the best windows of the heaviest cells:
+    centres in cells of equal parity are as far apart as those cells.
+    """
     facts = weights.agg(F.min("w").alias("least")).first()
     if facts["least"] is None:
         return weights.sparkSession.createDataFrame([], "score double, lon double, lat double")
@@ -46,6 +53,8 @@ def candidates_for(weights: DataFrame, query: RegionQuery) -> DataFrame:
     if facts["least"] >= 0:
         cells = written(bounds.cell_sums(weights, query.eps))
         theta = bounds.threshold(cells, query.topk, query.dist).first()["theta"]
+        best = bounds.best_of_cells(windows.candidates(weights, query.eps, theta, heaviest=HEAVIEST * query.topk), query.eps)
+        theta = max(theta, bounds.threshold(written(best.withColumnRenamed("top", "s")), query.topk, query.dist).first()["theta"])
     else:
         theta = float("-inf")
     return windows.candidates(weights, query.eps, theta)

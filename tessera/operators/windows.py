@@ -7,8 +7,11 @@ left and below, so each cell's windows can be formed from that block alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,10 @@ def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.nda
         own = tx[a : a + max(1, STEP // max(len(x), len(ty)))]
         in_x = (x[None, :] <= own[:, None]) & (x[None, :] + eps > own[:, None])
         scores = (in_x * w[None, :]) @ heavy
-        some = in_x.astype(float) @ heavy > 0
-        c, r = np.nonzero((scores >= theta - 1e-9 * abs(theta)) & some)
+        fits = scores >= theta - 1e-9 * abs(theta)
+        if theta <= 0:  # a window without points has no centre
+            fits &= in_x.astype(float) @ heavy > 0
+        c, r = np.nonzero(fits)
         for b in range(0, len(c), max(1, STEP // len(x))):
             cc, rr = c[b : b + max(1, STEP // len(x))], r[b : b + max(1, STEP // len(x))]
             inside = in_x[cc] & in_y[rr]
@@ -50,28 +55,56 @@ def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.nda
     return s[keep], lon[keep], lat[keep]
 
 
-def candidates(weights: DataFrame, eps: float, theta: float = 0.0) -> DataFrame:
-    """score, lon, lat of every window of at least theta, one row for each centre (its best score)."""
+def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int | None = None) -> DataFrame:
+    """score, lon, lat of every window of at least theta, one row for each centre (its best score).
+
+    ``heaviest``: only windows of so many cells, those with the largest bounds.
+    """
     eps = float(eps)
     cells = bounds.upper_bounds(bounds.cell_sums(weights, eps)).where(F.col("ub") >= theta)
+    if heaviest is not None:
+        cells = cells.orderBy(F.desc("ub"), "i", "j").limit(heaviest)
     cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int").alias("parts"))
     step = F.sequence(F.lit(0), F.lit(1))
     spread = hash_cells(weights, eps).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
     spread = spread.withColumns({"ci": F.col("i") + F.col("di"), "cj": F.col("j") + F.col("dj")}).drop("di", "dj")
     dealt = spread.join(cells, ["ci", "cj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def solve(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["lon", "lat", "w"])
-        first = block.iloc[0]
-        x, y, w, i, j = (block[c].to_numpy() for c in ("lon", "lat", "w", "i", "j"))
-        s, lon, lat = kernel(x, y, w, i, j, (int(first["ci"]), int(first["cj"])), eps, theta, int(first["part"]), int(first["parts"]))
-        rows = pd.DataFrame({"score": s, "lon": lon, "lat": lat})
-        return rows.groupby(["lon", "lat"], as_index=False, sort=False)["score"].max()[["score", "lon", "lat"]]
+    ordered = dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j").repartition("ci", "cj", "part").sortWithinPartitions("ci", "cj", "part", "lon", "lat", "w")
+
+    def solve(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other; one that a batch cuts is kept for the next."""
+        rest: dict[str, np.ndarray] = {}
+        for frame in chain(frames, [None]):
+            if frame is not None:
+                columns = {n: frame.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(frame.schema.names)}
+                rest = {n: np.concatenate([rest[n], c]) if rest else c for n, c in columns.items()}
+            if not rest:
+                continue
+            ci, cj, part = rest["ci"], rest["cj"], rest["part"]
+            edges = np.flatnonzero((ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1]) | (part[1:] != part[:-1])) + 1
+            starts = np.concatenate([[0], edges])
+            ends = np.append(edges, len(ci)) if frame is None else edges
+            found = [best_of_block({n: c[a:b] for n, c in rest.items()}, eps, theta) for a, b in zip(starts, ends, strict=False)]
+            rest = {n: c[starts[-1] :] for n, c in rest.items()}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["score", "lon", "lat"])
 
-    found = dealt.groupBy("ci", "cj", "part").applyInPandas(solve, WINDOWS)
+    found = ordered.mapInArrow(solve, WINDOWS)
     return found.groupBy("lon", "lat").agg(F.max("score").alias("score")).select("score", "lon", "lat")
 
 
+def best_of_block(rows: dict[str, np.ndarray], eps: float, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's windows, one for each centre."""
+    at = (int(rows["ci"][0]), int(rows["cj"][0]))
+    s, lon, lat = kernel(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, theta, int(rows["part"][0]), int(rows["parts"][0]))
+    order = np.lexsort((-s, lat, lon))
+    s, lon, lat = s[order], lon[order], lat[order]
+    first = np.ones(len(s), bool)
+    first[1:] = (lon[1:] != lon[:-1]) | (lat[1:] != lat[:-1])
+    return s[first], lon[first], lat[first]
+
+
 def at_resolution(found: DataFrame, resolution: float) -> DataFrame:
     """Centres that agree to a resolution are one: the best of them stays."""
     key = lambda c: F.floor(F.col(c) / F.lit(resolution))
