@@ -201,11 +201,11 @@ def test_chain_learns_and_leaves_clean_alone(spark):
     table = spark.createDataFrame([x for x in labels if x[0] < 300], "doc_id bigint, quality int, toxic int")
     chain = toxicity.train(docs, table, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
     scored = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
-    held = [(scored[i]["p_toxic"] >= 0.5) == (i % 4 == 0) for i in range(300, 400)]
+    held = [(scored[i]["p_toxic"] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(300, 400)]
     assert sum(held) >= 97
     kept = toxicity.keep_clean(docs, chain)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in scored.items() if r["p_toxic"] < 0.5}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in scored.items() if r["p_toxic"] < toxicity.THRESHOLD}
     assert 1000 in {r["doc_id"] for r in kept.collect()}
 
 
