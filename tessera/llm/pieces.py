@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
@@ -39,20 +40,20 @@ class PieceEncoder:
     """Ids of texts as bytes: little-endian, 32 bits each.
 
     ``encode_pieces`` maps strings to such bytes.  The memo is keyed by the piece
-    without its leading space; None marks a piece that touches more white space.
+    without its leading space; False marks a piece that touches more white space.
     Old entries are forgotten by generation: a miss costs time and changes nothing.
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], memo: int = MEMO):
         self.encode_pieces = encode_pieces
         self.memo = memo
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes | None]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
         found = {p: self.old[p] for p in pieces if p in self.old}
         new = [p for p in pieces if p not in found]
-        found.update((p, None) for p in new if not p or p[0].isspace() or p[-1].isspace())
+        found.update((p, False) for p in new if not p or p[0].isspace() or p[-1].isspace())
         plain = [p for p in new if p not in found]
         found.update(zip(plain, self.encode_pieces([" " + p for p in plain]), strict=True))
         if len(self.young) + len(found) > self.memo:
@@ -60,29 +61,26 @@ class PieceEncoder:
         self.young.update(found)
         return found
 
-    def _look_up(self, pieces: list[str]) -> list[bytes | None]:
-        young = self.young
-        try:
-            return [young[p] for p in pieces]
-        except KeyError:
-            learnt = self._learn({p for p in pieces if p not in young})
-            young = self.young
-            # a generation may have changed meanwhile: look in all three
-            return [learnt[p] if p in learnt else young[p] if p in young else self.old[p] for p in pieces]
+    def _look_up(self, pieces: list[str]) -> list[bytes | bool]:
+        ids = list(map(self.young.get, pieces))
+        if None in ids:
+            learnt = self._learn({p for p, i in zip(pieces, ids, strict=True) if i is None})
+            ids = [learnt[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
         ids = self._look_up(rest)
-        if None in ids or first[-1:].isspace():
+        if False in ids or first[-1:].isspace():
             first, *rest = _CUT.split(text)
-            ids = [i if i is not None else self.encode_pieces([" " + p])[0] for p, i in zip(rest, self._look_up(rest), strict=True)]
+            ids = [i if i is not False else self.encode_pieces([" " + p])[0] for p, i in zip(rest, self._look_up(rest), strict=True)]
         return (self.encode_pieces([first])[0] if first else b"") + b"".join(ids)
 
 
-#: Characters up to here are split by the pattern, whose classes are the same in every library version for them.
-_LATIN_END = "\u0370"
+#: Characters up to here are split, composed and lower-cased here: their classes and mappings are the same in every Unicode version in use.
+LATIN_END = "\u0370"
 
 
 def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
@@ -120,7 +118,7 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     rule = split_rule(spec)
     special = [t["content"] for t in spec.get("added_tokens", [])]
     to_char = {b: c for c, b in byte_of_char().items()}
-    model, normal = tokenizer.model.tokenize, tokenizer.normalizer
+    model = tokenizer.model.tokenize
     known: dict[str, bytes] = {}
 
     def whole(pieces: list[str]) -> list[bytes]:
@@ -137,11 +135,11 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
         find, lower = rule
         found = []
         for piece in pieces:
-            if not piece.isascii() and max(piece) >= _LATIN_END or special and not special_as_text and any(x in piece for x in special):
+            if not piece.isascii() and max(piece) >= LATIN_END or special and not special_as_text and any(x in piece for x in special):
                 found += whole([piece])
                 continue
             if lower:
-                piece = piece.lower() if piece.isascii() else normal.normalize_str(piece)
+                piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
             found.append(b"".join([known.get(t) or merged(t) for t in find(piece)]))
         return found
 
