@@ -27,9 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tessera.llm import common
-from tessera.llm.pieces import SPLIT, PieceEncoder, byte_of_char
+from tessera.llm.pieces import LATIN_END, MEMO, SPLIT, PieceEncoder, byte_of_char
 
 #: Remembered verdicts on pairs.
 PAIRS = 500_000
@@ -55,6 +56,9 @@ class BacktrackingBpe:
         self.offsets = np.cumsum([0, *map(len, entries)])
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
         self.pairs: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.as_byte = {c: chr(b) for c, b in byte.items()}
+        self.library_split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.split = regex.compile(SPLIT).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -137,18 +141,39 @@ class BacktrackingBpe:
                 token = shorter[back]
         return ids
 
+    def pretokens(self, text: str) -> list[str]:
+        """Pretokens with one character for each byte.
+
+        Beyond Latin, letter classes differ between Unicode versions: there the library's own splitter is asked.
+        """
+        if not text.isascii() and max(text) >= LATIN_END:
+            return ["".join([self.as_byte[c] for c in t]) for t, _ in self.library_split(text)]
+        return [t if t.isascii() else t.encode().decode("latin-1") for t in self.split(text)]
+
     def encode_text(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.at_special(text) if self.at_special else [text]:
             if part in self.special:
                 ids.append(self.special[part])
-            else:
-                for pretoken in self.split(part):
-                    ids += self.encode_pretoken(pretoken.encode().decode("latin-1"))
+            elif part:
+                for pretoken in self.pretokens(part):
+                    ids += self.encode_pretoken(pretoken)
         return ids
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.encode_text(t)).tobytes() for t in texts]
+        found, known = [], self.known
+        for text in texts:
+            if any(s in text for s in self.special):
+                found.append(array("I", self.encode_text(text)).tobytes())
+                continue
+            found.append(b"".join([known.get(t) or self._remember(t) for t in self.pretokens(text)]))
+        return found
+
+    def _remember(self, pretoken: str) -> bytes:
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        self.known[pretoken] = ids = array("I", self.encode_pretoken(pretoken)).tobytes()
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         starts, sizes = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
