@@ -35,14 +35,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a work table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.work_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "work_path", None)
+        if path:
+            target = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:

@@ -35,7 +35,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        edges = common.written(_small_star(_large_star(edges)), "links")
+        last, edges = edges, common.written(_small_star(_large_star(edges)), "links")
+        common.discard(last)
         now = _fingerprint(edges)
         if now == before:
             break
@@ -44,4 +45,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return common.written(nodes.unionByName(roots), "components") if before[0] else spark.createDataFrame([], "node bigint, component bigint")
+    found = common.written(nodes.unionByName(roots), "components") if before[0] else spark.createDataFrame([], "node bigint, component bigint")
+    common.discard(edges)
+    return found
