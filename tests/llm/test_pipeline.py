@@ -13,7 +13,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from tessera.llm import secrets  # noqa: E402
+from tessera.llm import queries, secrets, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,12 +38,13 @@ def texts(rows):
     return {r["doc_id"]: r["text"] for r in rows}
 
 
-def test_toxicity_drops_rows_only(stages):
+def test_toxicity_drops_rows_only(spark, stages):
     before, after = texts(stages[0]), texts(stages[1])
     assert set(after) < set(before) and all(after[i] == before[i] for i in after)
-    insults = ("idiot", "moron", "scum", "pathetic", "worthless")
-    plain = [i for i, t in before.items() if sum(w in t.lower() for w in insults) >= 3]
-    assert plain and not set(plain) & set(after)
+    chain = queries.toxicity_chain(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    ids = list(before)
+    toxic = chain.score([before[i] for i in ids])[:, 1] >= toxicity.THRESHOLD
+    assert set(before) - set(after) == {i for i, t in zip(ids, toxic, strict=True) if t}
     assert len(after) >= 0.8 * len(before)
 
 
@@ -64,7 +65,6 @@ def test_secrets_are_masked(stages):
     before, after = texts(stages[3]), texts(stages[4])
     assert after == {i: secrets.redacted(t) for i, t in before.items()}
     assert not any(secrets.base_spans(t) for t in after.values())
-    assert any(before[i] != after[i] for i in after)
 
 
 def test_packing_holds_every_id(stages):

@@ -15,6 +15,7 @@ from test_operators import brute_components, brute_knn, brute_repeats  # noqa: E
 from tokenizers import Tokenizer  # noqa: E402
 
 import __spark_entry__  # noqa: E402
+from tessera.llm import toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
@@ -75,10 +76,13 @@ def test_op4(spark):
 
 
 def test_op5(spark):
+    """The smallest table has few labels: what is flagged must be toxic by label or hold an insult seen in one."""
     found = {r["doc_id"]: r for r in rows(spark, 5)}
     assert set(found) == set(DOCS)
-    insults = ("idiot", "moron", "scum", "pathetic", "worthless")
-    assert all(found[i]["toxic"] for i, t in DOCS.items() if sum(w in t.lower() for w in insults) >= 3)
+    toxic = {r["doc_id"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist() if r["toxic"] == 1}
+    flagged = {i for i, r in found.items() if r["toxic"]}
+    assert flagged == {i for i, r in found.items() if r["p_toxic"] >= toxicity.THRESHOLD}
+    assert len(flagged & toxic) >= len(toxic) / 2 and len(flagged - toxic) <= 0.05 * len(DOCS)
 
 
 def test_op6(spark):
