@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest doc_id."""
     found = minhash.near_duplicates(docs)
     others = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    # both sides grow with the corpus: one plan at every size
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
