@@ -64,8 +64,8 @@ def read_positions(spark: SparkSession, path: str, lon: int | None, lat: int | N
     if lon is None or lat is None:
         raise ValueError("the columns of lon and lat are needed")
     parts = F.split(F.col("value"), re.escape(csv_delimiter), -1)
-    at = lambda i: F.trim(F.get(parts, F.lit(i - 1)))
-    number = lambda i: F.expr(f"try_cast({{}} as double)".replace("{}", f"trim(get(parts, {i - 1}))"))
+    at = lambda i: F.trim(F.get("parts", F.lit(i - 1)))
+    number = lambda i: F.expr(f"try_cast(trim(get(parts, {i - 1})) as double)")
     rows = spark.read.text(path).withColumn("parts", parts).where(F.length("value") > 0)
     rows = rows.withColumns({"lon": number(lon), "lat": number(lat), "score": number(score) if score else F.lit(1.0), "keywords": at(keywords) if keywords else F.lit(None).cast("string")})
     rows = rows.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("score").isNotNull())
