@@ -103,16 +103,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.written(rows.mapInArrow(check, "a bigint, b bigint").distinct(), "minhash-links")
 
 
-def comparable(a: str, b: str):
-    """Whether set sizes allow the similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
 def members(nodes: DataFrame) -> DataFrame:
-    """key, node, n, low, high (nodes with sizes), size of every bucket with two nodes at least; a written table."""
+    """key, node, n, low, high (the bucket's smallest and largest node), size of every bucket with two nodes at least; a written table."""
     rows = nodes.select("node", "n", F.explode("buckets").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"), F.count("*").alias("size")).where("low.node < high.node")
-    return common.written(rows.join(shared, "key"), "minhash-buckets")
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
+    # both sides grow with the corpus: one plan at every size
+    return common.written(rows.join(shared.hint("merge"), "key"), "minhash-buckets")
 
 
 def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -169,8 +165,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = some.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.min_by(F.struct("buckets", "sketch"), "doc_id").alias("own"))
     nodes = common.written(sets.select("k1", "k2", "n", "node", "own.buckets", "own.sketch"), "minhash-nodes")
     buckets = members(nodes)
-    star = buckets.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("node") != F.col("end.node")).where(comparable("n", "end.n"))
-    star = common.written(star.select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct(), "minhash-stars")
+    star = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    star = common.written(star.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct(), "minhash-stars")
     links = confirmed(star, docs)
     # several rows of one doc_id may be in several sets: they are one document
     same = some.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n")).join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "node")
@@ -182,5 +178,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_node = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("c"))
     joined = table.join(of_node, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
     return joined.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
