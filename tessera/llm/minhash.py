@@ -2,15 +2,16 @@
 
 A document is the set of its distinct word shingles.  For each of ``HASHES``
 permutations both the smallest and the largest value are kept, so half the
-evaluations give a full signature.  Bands of four values make buckets; with 44 bands a
-pair of similarity 0.75 shares no bucket with a probability of 6e-8.
+evaluations give a full signature.  Bands of four values, from the first ``BANDED`` permutations,
+make buckets; with 44 bands a pair of similarity 0.75 shares no bucket with a probability of 6e-8.
+A sketch keeps two bits of each of the 1,024 values: its estimates have a standard error of 0.016.
 
 Documents of equal sets are one node.  Links are confirmed on full sets, and only
 as many as decide the components: first each bucket's members against the bucket's
 smallest and largest node (stars, linear in the bucket), then, where a bucket still holds
 several components, all members outside its largest component against the others,
-in blocks, filtered by the signatures (estimates under ``LEAST_ESTIMATE`` have a similarity of
-0.75 with a probability under 1e-6).  No list of pairs within a bucket is formed.
+in blocks, filtered by the sketches (a similarity of 0.75 is estimated under ``LEAST_ESTIMATE``
+with a probability under 1e-6).  No list of pairs within a bucket is formed.
 
 Defined results: null text and text without words have an empty set and stay alone; fewer
 words than a shingle are one shingle; rows of one doc_id are one document whose
@@ -33,43 +34,57 @@ from tessera.llm import common, components
 from tessera.llm import words as W
 
 SHINGLE, PERCENT = 5, 75
-#: Permutations, values of a band, and so bands: 2 * HASHES / ROWS.
-HASHES, ROWS = 88, 4
-LEAST_ESTIMATE = 0.58
+#: Permutations, those whose values make bands, and values of a band; so 2 * BANDED / ROWS bands.
+HASHES, BANDED, ROWS = 512, 88, 4
+LEAST_ESTIMATE = 0.668
 #: Members of a bucket that are compared in one step with members outside its largest component.
 BLOCK = 1024
+#: Shingles hashed in one step: the products stay in the cache.
+_STEP = 512
 _SEEDS = np.random.default_rng(88).integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = np.random.default_rng(89).integers(1, 2**63, (2 * HASHES // ROWS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.random.default_rng(89).integers(1, 2**63, (2 * BANDED // ROWS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima, then maxima, of the set under each permutation."""
+    """Minimum and maximum of the set under each permutation, a pair for each."""
     low, high = np.full(HASHES, 2**64 - 1, np.uint64), np.zeros(HASHES, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        value = shingles[None, at : at + 4096] * _SEEDS[:, None]
-        np.minimum(low, value.min(1), out=low)
-        np.maximum(high, value.max(1), out=high)
-    return np.concatenate([low, high])
+    for at in range(0, len(shingles), _STEP):
+        value = shingles[at : at + _STEP, None] * _SEEDS[None, :]
+        np.minimum(low, value.min(0), out=low)
+        np.maximum(high, value.max(0), out=high)
+    return np.stack([low, high], 1)
 
 
 def bands(signatures: np.ndarray) -> np.ndarray:
-    """A bucket's key for each band of each signature."""
-    parts = W.mix(signatures).reshape(len(signatures), -1, ROWS)
+    """A bucket's key for each band of each signature; a band has minima or maxima only."""
+    parts = W.mix(signatures[:, :BANDED]).swapaxes(1, 2).reshape(len(signatures), -1, ROWS)
     return W.mix((parts * _BAND[None]).sum(2) + np.arange(parts.shape[1], dtype=np.uint64)[None, :])
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each value, four values a byte."""
+    two = (W.mix(signatures) >> np.uint64(62)).astype(np.uint8).reshape(len(signatures), -1, 4)
+    return two[:, :, 0] << 6 | two[:, :, 1] << 4 | two[:, :, 2] << 2 | two[:, :, 3]
+
+
+#: For each byte, how many of its four values are zero.
+_ALIKE = np.array([sum(b >> shift & 3 == 0 for shift in (0, 2, 4, 6)) for b in range(256)], np.uint8)
+#: Values that must agree: by chance a quarter of those that differ do.
+_LEAST_ALIKE = 2 * HASHES * (0.25 + 0.75 * LEAST_ESTIMATE)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and for sets that aren't empty their key (k1, k2), buckets and sketch (a byte for each value); a written table."""
+    """doc_id, n_shingles, and for sets that aren't empty their key (k1, k2), buckets and sketch; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
-            signed = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, 2 * HASHES), np.uint64)
+            signed = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES, 2), np.uint64)
             n = np.array([len(s) for s in sets], np.int64)
             keys = np.array([[W.mix(s).sum(), W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
             own = bands(signed).view(np.int64)
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.reshape(-1)))
-            sketch = [row.tobytes() for row in (W.mix(signed) >> np.uint64(56)).astype(np.uint8)]
+            sketch = [row.tobytes() for row in sketches(signed)]
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), buckets, pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "buckets", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs))
@@ -100,7 +115,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return common.written(rows.mapInArrow(check, "a bigint, b bigint").distinct(), "minhash-links")
+    found = common.written(rows.mapInArrow(check, "a bigint, b bigint").distinct(), "minhash-links")
+    common.discard(texts)
+    return found
 
 
 def members(nodes: DataFrame) -> DataFrame:
@@ -117,14 +134,16 @@ def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     rows = buckets.where("size > 2").select("key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     shared = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    rows = common.written(rows.join(shared, "key").select("key", "node", "n", "component", F.col("top.component").alias("top"), (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks")), "minhash-rest")
+    held = common.written(rows.join(shared, "key").select("key", "node", "n", "component", F.col("top.component").alias("top"), (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks")), "minhash-rest")
     sketches = nodes.select("node", "sketch")
-    rows = rows.join(sketches, "node")
+    rows = held.join(sketches, "node")
     asked = rows.where("component <> top").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     given = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = asked.withColumn("side", F.lit(0)).unionByName(given.withColumn("side", F.lit(1)))
     dealt = both.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return common.written(dealt.select("key", "block", "side", "node", "n", "component", "sketch").mapInArrow(_alike, "a bigint, b bigint").distinct(), "minhash-pairs")
+    found = common.written(dealt.select("key", "block", "side", "node", "n", "component", "sketch").mapInArrow(_alike, "a bigint, b bigint").distinct(), "minhash-pairs")
+    common.discard(held)
+    return found
 
 
 def _alike(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +158,7 @@ def _alike(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = given["n"].to_numpy()
             able = np.flatnonzero((given["component"].to_numpy() != part) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT))
             if len(able):
-                alike = able[(y[able] == x[i]).mean(1) >= LEAST_ESTIMATE]
+                alike = able[_ALIKE[y[able] ^ x[i]].sum(1, dtype=np.int64) >= _LEAST_ALIKE]
                 other = given["node"].to_numpy()[alike]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node)), pa.array(np.minimum(other, node))], names=["a", "b"])
 
@@ -167,15 +186,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = members(nodes)
     star = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     star = common.written(star.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct(), "minhash-stars")
-    links = confirmed(star, docs)
+    stars = confirmed(star, docs)
     # several rows of one doc_id may be in several sets: they are one document
     same = some.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n")).join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    links = links.unionByName(same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    links = stars.unionByName(same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     found = components.components(links)
-    more = confirmed(rest(buckets, nodes, found).join(star, ["a", "b"], "left_anti"), docs)
+    others = rest(buckets, nodes, found)
+    more = confirmed(others.join(star, ["a", "b"], "left_anti"), docs)
     if not more.isEmpty():
         found = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    common.discard(buckets, star, others, more, stars)
     of_node = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("c"))
     joined = table.join(of_node, ["k1", "k2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
