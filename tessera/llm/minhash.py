@@ -9,8 +9,8 @@ A sketch keeps two bits of each of the 1,024 values: its estimates have a standa
 Documents of equal sets are one node.  Links are confirmed on full sets, and only
 as many as decide the components: first each bucket's members against the bucket's
 smallest and largest node (stars, linear in the bucket), then, where a bucket still holds
-several components, all members outside its largest component against the others,
-in blocks, filtered by the sketches (a similarity of 0.75 is estimated under ``LEAST_ESTIMATE``
+several components, members outside its largest component against the others, in blocks: first each
+with its likeliest partner, then, with the components that this left, all of them, filtered by the sketches (a similarity of 0.75 is estimated under ``LEAST_ESTIMATE``
 with a probability under 1e-6).  No list of pairs within a bucket is formed.
 
 Defined results: null text and text without words have an empty set and stay alone; fewer
@@ -91,11 +91,16 @@ def described(docs: DataFrame) -> DataFrame:
     return common.written(rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, buckets array<bigint>, sketch binary"), "minhash")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text of the nodes that share a bucket, read from the documents once; a written table."""
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    # both sides grow with the corpus: one plan at every size
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    return common.written(rows, "minhash-texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), written, those whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = common.written(texts, "minhash-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -114,10 +119,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(own) + len(last[1]) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    found = common.written(rows.mapInArrow(check, "a bigint, b bigint").distinct(), "minhash-links")
-    common.discard(texts)
-    return found
+    rows = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    return common.written(rows.mapInArrow(check, "a bigint, b bigint").distinct(), "minhash-links")
 
 
 def members(nodes: DataFrame) -> DataFrame:
@@ -128,8 +131,11 @@ def members(nodes: DataFrame) -> DataFrame:
     return common.written(rows.join(shared.hint("merge"), "key"), "minhash-buckets")
 
 
-def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, in a bucket of three nodes at least, that the signatures hold for similar."""
+def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components, in a bucket of three nodes at least, that the sketches hold for similar.
+
+    best: of each node outside its bucket's largest component only the pair with the best estimate.
+    """
     of = found.select("node", F.col("component"))
     rows = buckets.where("size > 2").select("key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -141,12 +147,12 @@ def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     given = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = asked.withColumn("side", F.lit(0)).unionByName(given.withColumn("side", F.lit(1)))
     dealt = both.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    found = common.written(dealt.select("key", "block", "side", "node", "n", "component", "sketch").mapInArrow(_alike, "a bigint, b bigint").distinct(), "minhash-pairs")
+    found = common.written(dealt.select("key", "block", "side", "node", "n", "component", "sketch").mapInArrow(lambda frames: _alike(frames, best), "a bigint, b bigint").distinct(), "minhash-pairs")
     common.discard(held)
     return found
 
 
-def _alike(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Within each (key, block): asked rows (side 0), a step at a time, against the others as they come."""
     group, asked = None, None
 
@@ -158,7 +164,10 @@ def _alike(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = given["n"].to_numpy()
             able = np.flatnonzero((given["component"].to_numpy() != part) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT))
             if len(able):
-                alike = able[_ALIKE[y[able] ^ x[i]].sum(1, dtype=np.int64) >= _LEAST_ALIKE]
+                same = _ALIKE[y[able] ^ x[i]].sum(1, dtype=np.int64)
+                if best:
+                    same[np.arange(len(same)) != same.argmax()] = 0
+                alike = able[same >= _LEAST_ALIKE]
                 other = given["node"].to_numpy()[alike]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node)), pa.array(np.minimum(other, node))], names=["a", "b"])
 
@@ -186,17 +195,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = members(nodes)
     star = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     star = common.written(star.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct(), "minhash-stars")
-    stars = confirmed(star, docs)
+    texts = texts_of(docs, buckets)
+    stars = confirmed(star, texts)
     # several rows of one doc_id may be in several sets: they are one document
     same = some.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n")).join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     links = stars.unionByName(same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    found = components.components(links)
-    others = rest(buckets, nodes, found)
-    more = confirmed(others.join(star, ["a", "b"], "left_anti"), docs)
-    if not more.isEmpty():
-        found = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    common.discard(buckets, star, others, more, stars)
+    found, tested = components.components(links), star
+    for best in (True, False):  # the likeliest pairs first: what they join needs no further comparison
+        others = rest(buckets, nodes, found, best)
+        more = confirmed(others.join(tested, ["a", "b"], "left_anti"), texts)
+        if not more.isEmpty():
+            found = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        tested = tested.unionByName(others)
+    common.discard(buckets, texts)
     of_node = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("c"))
     joined = table.join(of_node, ["k1", "k2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
