@@ -124,8 +124,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame) -> DataFrame:
-    """key, node, n, low, high (the bucket's smallest and largest node), size of every bucket with two nodes at least; a written table."""
-    rows = nodes.select("node", "n", F.explode("buckets").alias("key"))
+    """band, key, node, n, low, high (the bucket's smallest and largest node), size of every bucket with two nodes at least; a written table."""
+    rows = nodes.select("node", "n", F.posexplode("buckets").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
     # both sides grow with the corpus: one plan at every size
     return common.written(rows.join(shared.hint("merge"), "key"), "minhash-buckets")
@@ -137,32 +137,37 @@ def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) ->
     best: of each node outside its bucket's largest component only the pair with the best estimate.
     """
     of = found.select("node", F.col("component"))
-    rows = buckets.where("size > 2").select("key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = buckets.where("size > 2").select("band", "key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     shared = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    held = common.written(rows.join(shared, "key").select("key", "node", "n", "component", F.col("top.component").alias("top"), (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks")), "minhash-rest")
-    sketches = nodes.select("node", "sketch")
-    rows = held.join(sketches, "node")
+    held = common.written(rows.join(shared, "key").select("band", "key", "node", "n", "component", F.col("top.component").alias("top"), (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks")), "minhash-rest")
+    rows = held.join(nodes.select("node", "sketch", "buckets"), "node")
     asked = rows.where("component <> top").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     given = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = asked.withColumn("side", F.lit(0)).unionByName(given.withColumn("side", F.lit(1)))
     dealt = both.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    found = common.written(dealt.select("key", "block", "side", "node", "n", "component", "sketch").mapInArrow(lambda frames: _alike(frames, best), "a bigint, b bigint").distinct(), "minhash-pairs")
+    found = common.written(dealt.select("band", "key", "block", "side", "node", "n", "component", "sketch", "buckets").mapInArrow(lambda frames: _alike(frames, best), "a bigint, b bigint").distinct(), "minhash-pairs")
     common.discard(held)
     return found
 
 
 def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Within each (key, block): asked rows (side 0), a step at a time, against the others as they come."""
+    """Within each (key, block): asked rows (side 0), a step at a time, against the others as they come.
+
+    A pair that shares several buckets is compared in the first of them only.
+    """
     group, asked = None, None
 
     def matched(own: pd.DataFrame, given: pd.DataFrame) -> Iterator[pa.RecordBatch]:
         x = np.frombuffer(b"".join(own["sketch"]), np.uint8).reshape(len(own), -1)
         y = np.frombuffer(b"".join(given["sketch"]), np.uint8).reshape(len(given), -1)
+        band = own["band"].iat[0]
+        x_keys, y_keys = (np.array([k[:band] for k in d["buckets"]], np.int64).reshape(len(d), band) for d in (own, given))
         for i in range(len(own)):
             node, n, part = own["node"].iat[i], own["n"].iat[i], own["component"].iat[i]
             sizes = given["n"].to_numpy()
             able = np.flatnonzero((given["component"].to_numpy() != part) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT))
+            able = able[~(y_keys[able] == x_keys[i]).any(1)]
             if len(able):
                 same = _ALIKE[y[able] ^ x[i]].sum(1, dtype=np.int64)
                 if best:
