@@ -35,8 +35,8 @@ from tessera.llm import common
 from tessera.llm import words as W
 
 WINDOW, GRAM = 50, 8
-#: Contexts of one shard; larger ones go by whole windows.
-MOST = 1000
+#: Contexts of one shard: their automaton stays under 200 MB. Larger shards go by whole windows.
+MOST = 4000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _WORD_BASE = np.uint64(0xD1B54A32D192ED03)
 _WORD_INVERSE = np.uint64(pow(int(_WORD_BASE), -1, 2**64))
