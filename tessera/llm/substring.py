@@ -95,8 +95,9 @@ def anchors(docs: DataFrame) -> DataFrame:
             ids, sizes, rows = np.asarray(frame.column("doc_id")), [], []
             for i, words in texts_with_words(frame.column("text").to_pylist()):
                 found = Contexts(words)
-                rows.append(np.stack([found.anchor, found.context], 1))
-                sizes.append((ids[i], len(found.anchor)))
+                once = np.unique(found.context, return_index=True)[1]  # a text may repeat itself
+                rows.append(np.stack([found.anchor[once], found.context[once]], 1))
+                sizes.append((ids[i], len(once)))
             if rows:
                 every = np.concatenate(rows).view(np.int64)
                 owner = np.repeat([d for d, _ in sizes], [n for _, n in sizes])
