@@ -201,18 +201,22 @@ def flagged(contexts: DataFrame) -> DataFrame:
     return small.unionByName(large)
 
 
-def decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, whole: contexts that go), and (doc_id, asked: array of (anchor, context, hot) whose windows must be compared)."""
+def decisions(docs: DataFrame) -> DataFrame:
+    """__id (a doc_id), whole: contexts that go, asked: array of (anchor, context, hot) whose windows must be compared; a written table."""
     every = anchors(docs)
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("low < high").select("anchor", F.expr("c1 < c2").alias("several"))
     rows = common.written(every.join(shared, "anchor"), "substring-shared")
     contexts = rows.groupBy("anchor", "context", "several").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     contexts = common.written(contexts, "substring-contexts")
+    common.discard(every)
     copies = rows.join(contexts.where("low < high").select("anchor", "context", "low"), ["anchor", "context"]).where("doc_id > low")
     whole = copies.groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
     shards = contexts.where("several").groupBy("anchor").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", (F.col("n") > MOST).alias("hot"))
     asked = contexts.where("several").join(shards, "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "context", "hot")).alias("asked"))
-    return whole, asked
+    plans = whole.join(asked, "doc_id", "full").select(F.col("doc_id").alias("__id"), "whole", "asked")
+    plans = common.written(plans, "substring-plans")
+    common.discard(rows, contexts)
+    return plans
 
 
 def _contexts_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,15 +274,13 @@ def _clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, and __n_words, __n_removed, __kept (the kept words joined by one space)."""
-    whole, asked = decisions(docs)
-    key = F.col("doc_id").cast("bigint")
-    plans = whole.join(asked, "doc_id", "full").select(F.col("doc_id").alias("__id"), "whole", "asked")
-    plans = common.written(plans, "substring-plans")
+    plans, key = decisions(docs), F.col("doc_id").cast("bigint")
     texts = docs.withColumn("__doc", key).join(plans.where("asked is not null").select(F.col("__id"), "asked"), F.col("__doc") == F.col("__id")).select(F.col("__doc").alias("doc_id"), "text", "asked")
     contexts = common.written(texts.mapInArrow(_contexts_of, "anchor bigint, doc_id bigint, context bigint, hot boolean, values array<bigint>").dropDuplicates(["doc_id", "context"]), "substring-words")
     parts = flagged(contexts).groupBy("doc_id").agg(F.collect_list(F.struct("context", "windows")).alias("parts"))
     final = plans.where("whole is not null").select("__id", "whole").join(parts.withColumnRenamed("doc_id", "__id"), "__id", "full")
     final = common.written(final, "substring-final")
+    common.discard(plans, contexts)
     rows = docs.withColumn("__key", key).join(final, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
     rows = rows.withColumnsRenamed({"whole": "__whole", "parts": "__parts"}).withColumn("__text", F.col("text"))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
