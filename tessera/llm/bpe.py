@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from tessera.llm import common
-from tessera.llm.pieces import LATIN_END, MEMO, SPLIT, PieceEncoder, byte_of_char
+from tessera.llm.pieces import LATIN_END, PRETOKENS, SPLIT, PieceEncoder, byte_of_char
 
 #: Remembered verdicts on pairs.
 PAIRS = 500_000
@@ -170,7 +170,7 @@ class BacktrackingBpe:
         return found
 
     def _remember(self, pretoken: str) -> bytes:
-        if len(self.known) >= MEMO:
+        if len(self.known) >= 2 * PRETOKENS:
             self.known.clear()
         self.known[pretoken] = ids = array("I", self.encode_pretoken(pretoken)).tobytes()
         return ids

@@ -22,8 +22,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of one memo generation; there are two at most.
-MEMO = 250_000
+#: Pieces, and pretokens, of one memo generation; there are two at most.
+MEMO, PRETOKENS = 300_000, 150_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the split pattern of byte-level BPE files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -120,15 +120,20 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     to_char = {b: c for c, b in byte_of_char().items()}
     model = tokenizer.model.tokenize
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def whole(pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def merged(pretoken: str) -> bytes:
-        chars = pretoken.translate(to_char) if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(to_char)
-        if len(known) >= MEMO:
-            known.clear()
-        known[pretoken] = ids = array("I", [t.id for t in model(chars)]).tobytes()
+        nonlocal known, older
+        ids = older.get(pretoken)
+        if ids is None:
+            chars = pretoken.translate(to_char) if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(to_char)
+            ids = array("I", [t.id for t in model(chars)]).tobytes()
+        if len(known) >= PRETOKENS:
+            older, known = known, {}
+        known[pretoken] = ids
         return ids
 
     def split(pieces: list[str]) -> list[bytes]:
