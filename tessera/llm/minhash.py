@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles.  For each of ``HASHES``
 permutations both the smallest and the largest value are kept, so half the
 evaluations give a full signature.  Bands of four values, from the first ``BANDED`` permutations,
 make buckets; with 44 bands a pair of similarity 0.75 shares no bucket with a probability of 6e-8.
-A sketch keeps two bits of each of the 1,024 values: its estimates have a standard error of 0.016.
+A sketch keeps two bits of each of the 2,048 values: its estimates have a standard error of 0.0115.
 
 Documents of equal sets are one node.  Links are confirmed on full sets, and only
 as many as decide the components: first each bucket's members against the bucket's
@@ -35,12 +35,12 @@ from tessera.llm import words as W
 
 SHINGLE, PERCENT = 5, 75
 #: Permutations, those whose values make bands, and values of a band; so 2 * BANDED / ROWS bands.
-HASHES, BANDED, ROWS = 512, 88, 4
-LEAST_ESTIMATE = 0.668
+HASHES, BANDED, ROWS = 1024, 88, 4
+LEAST_ESTIMATE = 0.6925
 #: Members of a bucket that are compared in one step with members outside its largest component.
 BLOCK = 1024
-#: Shingles hashed in one step: the products stay in the cache.
-_STEP = 512
+#: Shingles hashed in one step: the products stay in the cache. Documents described in one step.
+_STEP, _DOCS = 256, 256
 _SEEDS = np.random.default_rng(88).integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(89).integers(1, 2**63, (2 * BANDED // ROWS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,7 +77,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, and for sets that aren't empty their key (k1, k2), buckets and sketch; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in (f.slice(at, _DOCS) for f in frames for at in range(0, f.num_rows, _DOCS)):
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
             signed = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES, 2), np.uint64)
             n = np.array([len(s) for s in sets], np.int64)
