@@ -6,6 +6,10 @@ compressed by zstandard, primed with a dictionary of common identifiers and with
 text around it.  Its marginal bytes, per character, tell known or natural strings
 (few) from random ones (many).  Novel tokens are reported as spans of kind ``novel``.
 
+Tokens that adjoin (by a dot or the like, or by a line break) are one run, such as a key
+block or a signed web token: a sensitive word before the run counts for all of it, and it is
+measured and reported whole.  If the whole is not novel, each of its tokens is measured.
+
 Spans are in code points, ends exclusive.  Defined results: null text is the empty
 text, without spans; a null doc_id stays null; repeated rows are scanned once
 each; extra columns are ignored; an empty table gives an empty result.
@@ -34,6 +38,20 @@ KINDS = ("assign", "access", "hex", "novel")
 #: A candidate is a run of at least so many characters, with letters and digits.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"pass|secret|token|key|cred|auth|bearer|private|signature|AKIA", re.A | re.I)
+# What adjoins: a piece, what joins two of them in a line, and what may stand around a line break (also an escaped one).
+PIECE, GLUE, EDGE = r"[A-Za-z0-9+/_=-]", r"[.:~%\\]", r"""(?:[\s.,;"'\\>#*|]|(?<=\\)[nrt]|\+(?=[\s"']))++"""
+GLUED = re.compile(rf"(?:{GLUE}+{PIECE}{{1,15}})*{GLUE}+")
+BROKEN = re.compile(rf"(?:{GLUE}+{PIECE}{{1,15}})*({EDGE})(?:{PIECE}{{1,15}}{GLUE})*")
+BREAK = re.compile(r"""[\r\n]|\\[rn]|["']\s*\+""")
+#: The rest of a line that holds nothing more than pieces.
+REST = re.compile(rf"""(?:{GLUE}{PIECE}+){{0,8}}(?:[\x20\t.,;:"'\\)\]}}>]|\+(?=\s))*(?:[\r\n]|\\[rn]|\+|\Z)""")
+#: The last, short lines of a block: before its end mark, or (if the lines before are of equal length) without one.
+TAIL = re.compile(rf"(?:{EDGE}[A-Za-z0-9+/=]{{1,15}}){{1,2}}(?={EDGE}-----END)")
+SHORT_LINE = re.compile(rf"({EDGE})({PIECE}{{1,15}})(?!{PIECE})")
+#: Short pieces with letters and digits that are glued to a run.
+BEFORE, AFTER = re.compile(rf"(?<!{PIECE})({PIECE}{{4,15}}){GLUE}\Z"), re.compile(rf"{GLUE}({PIECE}{{4,15}})(?!{PIECE})")
+#: Most characters between two candidates of a run, and before one in which the head of its block is looked for.
+GAP, HEAD = 96, 512
 #: Characters before a candidate in which a sensitive word counts, and those that prime the compressor on either side.
 NEAR, AROUND = 48, 256
 #: Least marginal compressed bytes for each character.
@@ -70,17 +88,83 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(compressor.compress(data)) - len(compressor.compress(b""))
 
 
+def mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def block_head(text: str, start: int) -> int:
+    """Where the block that ``start`` lies in begins, by its mark; -1 if it lies in none."""
+    head = text.rfind("-----BEGIN ", max(0, start - HEAD), start)
+    return -1 if head < 0 or text.find("-----END", head, start) >= 0 else head
+
+
+def adjoin(text: str, last: tuple[int, int], start: int, end: int, block: bool) -> bool:
+    """Whether the candidate at ``start`` carries on the run that ``last`` ends; ``block``: a marked one, where blanks will do."""
+    if start - last[1] > GAP:
+        return False
+    gap = text[last[1] : start]
+    if GLUED.fullmatch(gap) or (block and gap.isspace()):
+        return True
+    return bool(BROKEN.fullmatch(gap) and BREAK.search(gap) and REST.match(text, end))
+
+
+def runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates, those that adjoin together."""
+    run, block = [], False
+    for m in CANDIDATE.finditer(text):
+        if run and adjoin(text, run[-1], *m.span(), block):
+            run.append(m.span())
+            continue
+        if run:
+            yield run
+        run, block = [m.span()], block_head(text, m.start()) >= 0
+    if run:
+        yield run
+
+
+def in_context(text: str, start: int) -> bool:
+    """Whether a sensitive word lies shortly before ``start``, or in the head of its block."""
+    if SENSITIVE.search(text, max(0, start - NEAR), start):
+        return True
+    head = block_head(text, start)
+    return head >= 0 and bool(SENSITIVE.search(text, head, start))
+
+
+def widened(text: str, run: list[tuple[int, int]]) -> tuple[int, int]:
+    """The span of a run with its last, short lines and the short pieces glued to it."""
+    start, end = run[0][0], run[-1][1]
+    if tail := TAIL.match(text, end):
+        end = tail.end()
+    elif len(run) > 1 and run[-1][1] - run[-1][0] == run[-2][1] - run[-2][0] and BREAK.search(text, run[-2][1], run[-1][0]):
+        tail = SHORT_LINE.match(text, end)
+        if tail and BREAK.search(tail[1]) and not tail[2].startswith("---") and REST.match(text, tail.end()):
+            end = tail.end()
+    while (m := AFTER.match(text, end)) and mixed(m[1]):
+        end = m.end()
+    while (m := BEFORE.search(text, max(0, start - 17), start)) and mixed(m[1]):
+        start = m.start()
+    return start, end
+
+
+def is_novel(text: str, run: list[tuple[int, int]], least: float) -> bool:
+    start, end = run[0][0], run[-1][1]
+    token = "".join(text[a:b] for a, b in run)
+    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+    return mixed(token) and marginal_bytes(token, around) >= least * len(token)
+
+
 def novel_spans(text: str, least: float = NOVELTY) -> list[Span]:
-    """Incompressible candidates in sensitive contexts."""
+    """Incompressible runs of candidates in sensitive contexts, or candidates of a run that is not so as a whole."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        token = m[0]
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and SENSITIVE.search(text, max(0, start - NEAR), start)):
+    for run in runs(text):
+        first = next((i for i, (start, _) in enumerate(run) if in_context(text, start)), len(run))
+        run = run[first:]
+        if not run:
             continue
-        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if marginal_bytes(token, around) >= least * len(token):
-            found.append(("novel", start, end))
+        if is_novel(text, run, least):
+            found.append(("novel", *widened(text, run)))
+        elif len(run) > 1:
+            found += [("novel", *part) for part in run if is_novel(text, [part], least)]
     return found
 
 
