@@ -9,6 +9,8 @@ text around it.  Its marginal bytes, per character, tell known or natural string
 Tokens that adjoin (by a dot or the like, or by a line break) are one run, such as a key
 block or a signed web token: a sensitive word before the run counts for all of it, and it is
 measured and reported whole.  If the whole is not novel, each of its tokens is measured.
+The text around a token primes without the token's own other occurrences, so a secret that
+is repeated stays novel.
 
 Spans are in code points, ends exclusive.  Defined results: null text is the empty
 text, without spans; a null doc_id stays null; repeated rows are scanned once
@@ -54,6 +56,8 @@ BEFORE, AFTER = re.compile(rf"(?<!{PIECE})({PIECE}{{4,15}}){GLUE}\Z"), re.compil
 GAP, HEAD = 96, 512
 #: Characters before a candidate in which a sensitive word counts, and those that prime the compressor on either side.
 NEAR, AROUND = 48, 256
+#: Least length of a candidate, or of a piece of it, whose other occurrences do not prime.
+LEAST_PIECE = 16
 #: Least marginal compressed bytes for each character.
 NOVELTY = 0.62
 # Identifiers and words that code commonly holds.
@@ -146,11 +150,40 @@ def widened(text: str, run: list[tuple[int, int]]) -> tuple[int, int]:
     return start, end
 
 
-def is_novel(text: str, run: list[tuple[int, int]], least: float) -> bool:
+def own_pieces(token: str) -> set[str]:
+    """The token, and its long pieces between assignments or slashes: ``auth=S`` and ``//host/S`` repeat S too."""
+    return {p for p in (token, token.partition("=")[2], *re.split("[=/]", token)) if len(p) >= LEAST_PIECE}
+
+
+def surroundings(text: str, run: list[tuple[int, int]]) -> str:
+    """The characters on either side of a run, without other occurrences of its candidates, whole or cut by the window's edge."""
     start, end = run[0][0], run[-1][1]
+    low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+    inside, near = [text[a:b] for a, b in run], []
+    for m in CANDIDATE.finditer(text, max(0, low - AROUND), min(len(text), high + AROUND)):
+        if (m.end() <= start or m.start() >= end) and any(m[0] in token for token in inside):
+            near.append(m[0])
+    pieces = set(near).union(*map(own_pieces, inside))
+    around = ""
+    for a, b in ((low, start), (end, high)):
+        taken = [False] * (b - a)
+        for piece in pieces:
+            # as far as an occurrence can reach over the window's outer edge
+            n = len(piece) - 1
+            left, right = (max(0, a - n), b) if b == start else (a, min(len(text), b + n))
+            at = text.find(piece, left, right)
+            while at >= 0:
+                x, y = max(at, a), min(at + len(piece), b)
+                if x < y:
+                    taken[x - a : y - a] = [True] * (y - x)
+                at = text.find(piece, at + 1, right)
+        around += "".join(c for c, t in zip(text[a:b], taken, strict=True) if not t)
+    return around
+
+
+def is_novel(text: str, run: list[tuple[int, int]], least: float) -> bool:
     token = "".join(text[a:b] for a, b in run)
-    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-    return mixed(token) and marginal_bytes(token, around) >= least * len(token)
+    return mixed(token) and marginal_bytes(token, surroundings(text, run)) >= least * len(token)
 
 
 def novel_spans(text: str, least: float = NOVELTY) -> list[Span]:

@@ -1,4 +1,4 @@
-"""Secrets of several runs: key blocks and signed web tokens."""
+"""Secrets of several runs (key blocks and signed web tokens), and secrets that are repeated."""
 
 import base64
 import random
@@ -59,3 +59,21 @@ def test_prose_does_not_join():
 def test_known_token_does_not_hide_its_neighbour():
     known, key = "password1" * 12, made(7, 24)
     assert novel(f"secret: {known}.{key} end") == [key]
+
+
+@pytest.mark.parametrize("between", [" now; then use auth ", "\nauth ", " " + "word " * 48 + "auth ", " " + "word " * 45 + "auth "])
+def test_repeated_secret_is_reported_each_time(between):
+    key = made(8, 32)
+    assert novel(f"deploy auth is {key}{between}{key} again") == [key, key]
+    assert key not in secrets.redacted(f"deploy auth is {key}{between}{key}{between}{key} again")
+
+
+def test_secret_repeated_inside_another_token():
+    key = made(9, 32)
+    assert novel(f"auth {key} and auth value={key} or auth //host/{key} end") == [key, f"value={key}", f"//host/{key}"]
+    token = f"{made(10, 36)}.{made(11, 60)}.{made(12, 43)}"
+    assert novel(f"bearer {token} bearer {token}") == [token, token]
+
+
+def test_repetition_inside_a_token_still_counts():
+    assert novel("secret: password1password1password1 secret: password1password1password1") == []
