@@ -6,7 +6,7 @@ sqrt(M - |x|^2), with M the largest |x|^2, and every query a zero: the squared d
 is then |q|^2 + M - 2 q.x.  In that space:
 
 1. Pivots, a bounded number of data vectors, cut data and queries into cells.
-2. A summary of each cell (its radius, its smallest distances to the pivot, its size)
+2. A summary of each cell (its radius, the smallest distances of its ids to the pivot, its size)
    bounds, for each cell of queries, the distance of the k-th neighbour of any query in it.
 3. A data vector is replicated to a cell of queries only if the triangle inequality allows
    it within that bound.  Cells meet in blocks of bounded size.
@@ -99,13 +99,14 @@ def routes(data: pd.DataFrame, queries: pd.DataFrame, near: pd.DataFrame, pivots
     """(cell of queries, cell of data, least and largest distance to the pivot) of what must be replicated.
 
     ``data``, ``queries``: a row for each cell with its largest distance to the pivot;
-    ``near``: the k + 1 smallest distances of each data cell (one may be the query itself).
+    ``near``: the smallest distances of k + 1 ids of each data cell (one id may be the query's own, with any number of rows).
     """
     between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0))
     found = []
     for i, radius in zip(queries["cell"], queries["far"], strict=True):
-        reach = np.sort(radius + between[i, near["cell"]] + near["d"].to_numpy())
-        bound = reach[k] if len(reach) > k else np.inf  # the k-th besides the query itself
+        # an id counts once, by its nearest row: whatever id asks, k others are within the bound
+        reach = np.sort(pd.Series(radius + between[i, near["cell"]] + near["d"].to_numpy()).groupby(near["id"].to_numpy()).min().to_numpy())
+        bound = reach[k] if len(reach) > k else np.inf  # the k-th besides the query's own id
         for j, far in zip(data["cell"], data["far"], strict=True):
             slack = SLACK * (1 + far + radius + between[i, j]) + 1e-3
             low, high = between[i, j] - radius - bound - slack, between[i, j] + radius + bound + slack
@@ -190,14 +191,15 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
 
 
 def smallest(data: DataFrame, count: int) -> pd.DataFrame:
-    """cell, d: the ``count`` smallest distances of each cell, found a partition at a time first."""
+    """cell, id, d: the ``count`` ids of each cell with the smallest distances, each with its least, found a partition at a time first."""
 
     def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"cell": pd.Series(dtype="int32"), "d": pd.Series(dtype="float64")})
+        kept = pd.DataFrame({"cell": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
         for frame in frames:
-            kept = pd.concat([kept, frame]).sort_values("d", kind="stable").groupby("cell").head(count)
+            kept = pd.concat([kept, frame]).sort_values("d", kind="stable").drop_duplicates(["cell", "id"]).groupby("cell").head(count)
         yield kept
 
-    local = data.select("cell", "d").mapInPandas(least, "cell int, d double")
-    order = Window.partitionBy("cell").orderBy("d")
-    return local.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count).select("cell", "d").toPandas()
+    local = data.select("cell", "id", "d").mapInPandas(least, "cell int, id bigint, d double")
+    order = Window.partitionBy("cell").orderBy("d", "id")
+    each = local.groupBy("cell", "id").agg(F.min("d").alias("d"))
+    return each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count).select("cell", "id", "d").toPandas()
