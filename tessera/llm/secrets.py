@@ -4,7 +4,8 @@ The base patterns find assignments of credentials, access keys and long hex stri
 The method adds novelty: a long token with a sensitive word shortly before it is
 compressed by zstandard, primed with a dictionary of common identifiers and with the
 text around it.  Its marginal bytes, per character, tell known or natural strings
-(few) from random ones (many).  Novel tokens are reported as spans of kind ``novel``.
+(few) from random ones (many); how many are asked for depends on the token's alphabet, and
+words without digits are told by their letter pairs.  Novel tokens are reported as spans of kind ``novel``.
 
 Tokens that adjoin (by a dot or the like, or by a line break) are one run, such as a key
 block or a signed web token: a sensitive word before the run counts for all of it, and it is
@@ -20,6 +21,8 @@ each; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A candidate is a run of at least so many characters, with letters and digits.
+#: A candidate is a run of at least so many characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"pass|secret|token|key|cred|auth|bearer|private|signature|AKIA", re.A | re.I)
 # What adjoins: a piece, what joins two of them in a line, and what may stand around a line break (also an escaped one).
@@ -58,8 +61,17 @@ GAP, HEAD = 96, 512
 NEAR, AROUND = 48, 256
 #: Least length of a candidate, or of a piece of it, whose other occurrences do not prime.
 LEAST_PIECE = 16
-#: Least marginal compressed bytes for each character.
+#: Least marginal compressed bytes for each character, where there are 64 symbols; fewer symbols need as much less as they hold.
 NOVELTY = 0.62
+#: Letter pairs that are common in European languages; without digits, a token is natural if at least this share of its pairs is.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta "
+    "la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia "
+    "am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt".split()
+)
+NATURAL = 0.55
+#: Compressed bytes that do not tell novelty: a run of one symbol takes 7.
+FRAME = 8
 # Identifiers and words that code commonly holds.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret authorization bearer "
@@ -96,6 +108,26 @@ def mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def is_natural(token: str) -> bool:
+    """Whether a token without digits reads as words, or is a rule of signs only."""
+    if not any(c.isalnum() for c in token):
+        return True
+    pairs = [a + b for a, b in itertools.pairwise(token.lower()) if a.isalpha() and b.isalpha()]
+    return not any(c.isdigit() for c in token) and sum(p in PAIRS for p in pairs) >= NATURAL * max(1, len(pairs))
+
+
+def least_bytes(token: str, least: float) -> float:
+    """``least`` a character for the token's alphabet: digits, hexadecimal digits or letters of each case, and the signs in it."""
+    found = set(token)
+    signs = {c for c in found if not c.isalnum()}
+    rest, size = found - signs, len(signs)
+    if rest <= set("0123456789abcdef") or rest <= set("0123456789ABCDEF"):
+        size += 16 if any(c.isalpha() for c in rest) else 10
+    else:
+        size += 10 * any(c.isdigit() for c in rest) + 26 * any(c.islower() for c in rest) + 26 * any(c.isupper() for c in rest)
+    return max(FRAME, least * min(1, math.log2(size) / 6) * len(token))
+
+
 def block_head(text: str, start: int) -> int:
     """Where the block that ``start`` lies in begins, by its mark; -1 if it lies in none."""
     head = text.rfind("-----BEGIN ", max(0, start - HEAD), start)
@@ -183,7 +215,7 @@ def surroundings(text: str, run: list[tuple[int, int]]) -> str:
 
 def is_novel(text: str, run: list[tuple[int, int]], least: float) -> bool:
     token = "".join(text[a:b] for a, b in run)
-    return mixed(token) and marginal_bytes(token, surroundings(text, run)) >= least * len(token)
+    return not is_natural(token) and marginal_bytes(token, surroundings(text, run)) >= least_bytes(token, least)
 
 
 def novel_spans(text: str, least: float = NOVELTY) -> list[Span]:

@@ -77,3 +77,15 @@ def test_secret_repeated_inside_another_token():
 
 def test_repetition_inside_a_token_still_counts():
     assert novel("secret: password1password1password1 secret: password1password1password1") == []
+
+
+@pytest.mark.parametrize("symbols,length", [(LETTERS, 16), (LETTERS[:26], 24), (LETTERS[26:], 24), (DIGITS, 24), (DIGITS, 400), (DIGITS + "ABCDEF", 32), (DIGITS + "ABCDEF", 256), (DIGITS + "ABCDEF", 2000)])
+def test_every_alphabet_is_measured(symbols, length):
+    keys = [made(seed, length, symbols) for seed in range(40)]
+    hits = sum(novel(f"the auth value is {key} here") == [key] for key in keys)
+    assert hits == 40 if length > 24 else hits >= 39
+
+
+def test_words_and_rules_are_natural():
+    for token in ("internationalization", "src/main/resources/application", "getUserAuthenticationToken", "SCREAMING_SNAKE_CONSTANT", "Geschwindigkeitsbegrenzung", "desoxyribonucleico", "anticonstitutionnellement", "-" * 40, "=-" * 20, "_" * 16, "0" * 20):
+        assert novel(f"the auth value is {token} here") == []
