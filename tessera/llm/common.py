@@ -16,10 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's spark.checkpoint.dir.
 
-    Only where that setting is missing (a local session, as in tests) a folder of our own is set.
+    Only where that setting is missing in a local session, as in tests, a folder of our own is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +32,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark removes a finished execution's shuffle files where this is set; they would stay until the driver collects garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a table written to the shared folder: cuts lineage and survives lost executors.
+
+    Once it stands nothing reads the shuffles that made it, so their files go at once.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.work_path = path
     return found

@@ -1,22 +1,24 @@
 """Near-duplicate documents by min-max hashing, with exact confirmation.
 
-A document is the set of its distinct word shingles.  For each of ``HASHES``
+A document is the set of its distinct word shingles.  For each of ``BANDED``
 permutations both the smallest and the largest value are kept, so half the
-evaluations give a full signature.  Bands of four values, from the first ``BANDED`` permutations,
-make buckets; with 44 bands a pair of similarity 0.75 shares no bucket with a probability of 6e-8.
-A sketch keeps two bits of each of the 2,048 values: its estimates have a standard error of 0.0115.
+evaluations give a full signature.  Bands of four values make buckets; with 44 bands a
+pair of similarity 0.75 shares no bucket with a probability of 6e-8.
 
 Documents of equal sets are one node.  Links are confirmed on full sets, and only
 as many as decide the components: first each bucket's members against the bucket's
 smallest and largest node (stars, linear in the bucket), then, where a bucket still holds
-several components, members outside its largest component against the others, in blocks: first each
-with its likeliest partner, then, with the components that this left, all of them, filtered by the sketches (a similarity of 0.75 is estimated under ``LEAST_ESTIMATE``
-with a probability under 1e-6).  No list of pairs within a bucket is formed.
+several components, members outside its largest component against the others, in blocks.  For these
+nodes alone longer signatures are made, from ``HASHES`` permutations: a sketch keeps two bits of each of
+their 2,048 values, and its estimates have a standard error of 0.0115.  A first pass takes each node's
+likeliest partner, a second, with the components that this left, all pairs that the sketches hold for similar
+(a similarity of 0.75 is estimated under ``LEAST_ESTIMATE`` with a probability under 1e-6).
+No list of pairs within a bucket is formed.
 
 Defined results: null text and text without words have an empty set and stay alone; fewer
-words than a shingle are one shingle; rows of one doc_id are one document whose
+words than a shingle are one shingle; a text of any length is taken whole; rows of one doc_id are one document whose
 links are those of its rows; null doc_ids have no links and null components; ties cannot
-arise, a component's id is its smallest doc_id; extra columns are ignored; an empty table gives an
+arise, a component's id is its smallest doc_id; extra columns of any name are ignored; an empty table gives an
 empty result.
 """
 
@@ -34,10 +36,10 @@ from tessera.llm import common, components
 from tessera.llm import words as W
 
 SHINGLE, PERCENT = 5, 75
-#: Permutations, those whose values make bands, and values of a band; so 2 * BANDED / ROWS bands.
-HASHES, BANDED, ROWS = 1024, 88, 4
+#: Permutations of the bands (so 2 * BANDED / ROWS bands of ROWS values) and of the sketches.
+BANDED, ROWS, HASHES = 88, 4, 1024
 LEAST_ESTIMATE = 0.6925
-#: Members of a bucket that are compared in one step with members outside its largest component.
+#: Members of a bucket that are compared with as many others in one step.
 BLOCK = 1024
 #: Shingles hashed in one step: the products stay in the cache. Documents described in one step.
 _STEP, _DOCS = 256, 256
@@ -45,25 +47,30 @@ _SEEDS = np.random.default_rng(88).integers(1, 2**63, HASHES, np.uint64) * np.ui
 _BAND = np.random.default_rng(89).integers(1, 2**63, (2 * BANDED // ROWS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum and maximum of the set under each permutation, a pair for each."""
-    low, high = np.full(HASHES, 2**64 - 1, np.uint64), np.zeros(HASHES, np.uint64)
-    for at in range(0, len(shingles), _STEP):
-        value = shingles[at : at + _STEP, None] * _SEEDS[None, :]
+def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """Minimum and maximum of the set under each of the first ``hashes`` permutations, a pair for each."""
+    low, high, seeds = np.full(hashes, 2**64 - 1, np.uint64), np.zeros(hashes, np.uint64), _SEEDS[None, :hashes]
+    step = _STEP * max(1, HASHES // hashes // 4)
+    for at in range(0, len(shingles), step):
+        value = shingles[at : at + step, None] * seeds
         np.minimum(low, value.min(0), out=low)
         np.maximum(high, value.max(0), out=high)
     return np.stack([low, high], 1)
 
 
-def bands(signatures: np.ndarray) -> np.ndarray:
-    """A bucket's key for each band of each signature; a band has minima or maxima only."""
-    parts = W.mix(signatures[:, :BANDED]).swapaxes(1, 2).reshape(len(signatures), -1, ROWS)
+def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    return np.stack([signature(s, hashes) for s in sets]) if sets else np.zeros((0, hashes, 2), np.uint64)
+
+
+def bands(signed: np.ndarray) -> np.ndarray:
+    """A bucket's key for each band of each signature, ascending in the band; a band has minima or maxima only."""
+    parts = W.mix(signed[:, :BANDED]).swapaxes(1, 2).reshape(len(signed), -1, ROWS)
     return W.mix((parts * _BAND[None]).sum(2) + np.arange(parts.shape[1], dtype=np.uint64)[None, :])
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
+def sketches(signed: np.ndarray) -> np.ndarray:
     """Two bits of each value, four values a byte."""
-    two = (W.mix(signatures) >> np.uint64(62)).astype(np.uint8).reshape(len(signatures), -1, 4)
+    two = (W.mix(signed) >> np.uint64(62)).astype(np.uint8).reshape(len(signed), -1, 4)
     return two[:, :, 0] << 6 | two[:, :, 1] << 4 | two[:, :, 2] << 2 | two[:, :, 3]
 
 
@@ -73,22 +80,38 @@ _ALIKE = np.array([sum(b >> shift & 3 == 0 for shift in (0, 2, 4, 6)) for b in r
 _LEAST_ALIKE = 2 * HASHES * (0.25 + 0.75 * LEAST_ESTIMATE)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A matrix of whole numbers as an Arrow column of its rows."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.view(np.int64).reshape(-1)))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and for sets that aren't empty their key (k1, k2), buckets and sketch; a written table."""
+    """doc_id, n, the set's key (k1, k2) and its buckets; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in (f.slice(at, _DOCS) for f in frames for at in range(0, f.num_rows, _DOCS)):
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
-            signed = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES, 2), np.uint64)
-            n = np.array([len(s) for s in sets], np.int64)
             keys = np.array([[W.mix(s).sum(), W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
-            own = bands(signed).view(np.int64)
-            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.reshape(-1)))
-            sketch = [row.tobytes() for row in sketches(signed)]
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), buckets, pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "buckets", "sketch"])
+            buckets = _lists(bands(signatures(sets, BANDED)))
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), buckets], names=["doc_id", "n", "k1", "k2", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs))
-    return common.written(rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, buckets array<bigint>, sketch binary"), "minhash")
+    return common.written(rows.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, buckets array<bigint>"), "minhash")
+
+
+def sketched(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, n, buckets, sketch of the nodes of ``held``, from their texts; a written table."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in (f.slice(at, _DOCS) for f in frames for at in range(0, f.num_rows, _DOCS)):
+            sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
+            signed = signatures(sets, HASHES)
+            sketch = pa.array([row.tobytes() for row in sketches(signed)], pa.binary())
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(bands(signed)), sketch], names=["node", "n", "buckets", "sketch"])
+
+    wanted = held.select(F.col("node").alias("doc_id")).distinct()
+    rows = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
+    return common.written(rows.mapInArrow(run, "node bigint, n bigint, buckets array<bigint>, sketch binary").where("n > 0"), "minhash-sketches")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,35 +147,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame) -> DataFrame:
-    """band, key, node, n, low, high (the bucket's smallest and largest node), size of every bucket with two nodes at least; a written table."""
-    rows = nodes.select("node", "n", F.posexplode("buckets").alias("band", "key"))
+    """key, node, low, high (the bucket's smallest and largest node), size of every bucket with two nodes at least; a written table."""
+    rows = nodes.select("node", F.explode("buckets").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
     # both sides grow with the corpus: one plan at every size
     return common.written(rows.join(shared.hint("merge"), "key"), "minhash-buckets")
 
 
-def rest(buckets: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components, in a bucket of three nodes at least, that the sketches hold for similar.
+def undecided(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, component, top (the bucket's largest component), blocks inside and outside it, of buckets that hold several; a written table.
 
-    best: of each node outside its bucket's largest component only the pair with the best estimate.
+    Buckets of two nodes are decided: their pair is a star.
     """
-    of = found.select("node", F.col("component"))
-    rows = buckets.where("size > 2").select("band", "key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = buckets.where("size > 2").select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     shared = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    held = common.written(rows.join(shared, "key").select("band", "key", "node", "n", "component", F.col("top.component").alias("top"), (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks")), "minhash-rest")
-    rows = held.join(nodes.select("node", "sketch", "buckets"), "node")
-    asked = rows.where("component <> top").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    given = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    both = asked.withColumn("side", F.lit(0)).unionByName(given.withColumn("side", F.lit(1)))
-    dealt = both.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    found = common.written(dealt.select("band", "key", "block", "side", "node", "n", "component", "sketch", "buckets").mapInArrow(lambda frames: _alike(frames, best), "a bigint, b bigint").distinct(), "minhash-pairs")
-    common.discard(held)
-    return found
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shared = shared.select("key", F.col("top.component").alias("top"), in_blocks(F.col("size")).alias("blocks"), in_blocks(F.col("size") - F.col("top.c")).alias("outside"))
+    return common.written(rows.join(shared, "key"), "minhash-rest")
+
+
+def likely(held: DataFrame, sketch: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components, in an undecided bucket, that the sketches hold for similar; a written table.
+
+    Members outside the largest component are asked about all: blocks of them meet blocks of all members.
+    best: of each asked member only the pair with the best estimate in a block.
+    """
+    rows = held.join(sketch, "node")
+    dealt = lambda seed, of: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = rows.where("component <> top").withColumn("one", dealt(1, "outside")).withColumn("other", each("blocks")).withColumn("side", F.lit(0))
+    given = rows.withColumn("other", dealt(2, "blocks")).withColumn("one", each("outside")).withColumn("side", F.lit(1))
+    columns = ["key", "one", "other", "side", "node", "n", "component", "sketch", "buckets"]
+    both = asked.select(columns).unionByName(given.select(columns)).repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "side")
+    return common.written(both.mapInArrow(lambda frames: _alike(frames, best), "a bigint, b bigint").distinct(), "minhash-pairs")
 
 
 def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Within each (key, block): asked rows (side 0), a step at a time, against the others as they come.
+    """Within each block: asked rows (side 0) against the others as they come.
 
     A pair that shares several buckets is compared in the first of them only.
     """
@@ -161,8 +193,9 @@ def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBa
     def matched(own: pd.DataFrame, given: pd.DataFrame) -> Iterator[pa.RecordBatch]:
         x = np.frombuffer(b"".join(own["sketch"]), np.uint8).reshape(len(own), -1)
         y = np.frombuffer(b"".join(given["sketch"]), np.uint8).reshape(len(given), -1)
-        band = own["band"].iat[0]
-        x_keys, y_keys = (np.array([k[:band] for k in d["buckets"]], np.int64).reshape(len(d), band) for d in (own, given))
+        x_keys, y_keys = (np.stack(d["buckets"]) for d in (own, given))
+        band = int(np.flatnonzero(x_keys[0] == own["key"].iat[0])[0])
+        x_keys, y_keys = x_keys[:, :band], y_keys[:, :band]
         for i in range(len(own)):
             node, n, part = own["node"].iat[i], own["n"].iat[i], own["component"].iat[i]
             sizes = given["n"].to_numpy()
@@ -178,9 +211,9 @@ def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBa
 
     for frame in frames:
         rows = frame.to_pandas()
-        change = (rows["key"] != rows["key"].shift()) | (rows["block"] != rows["block"].shift())
+        change = (rows[["key", "one", "other"]] != rows[["key", "one", "other"]].shift()).any(axis=1)
         for _, part in rows.groupby(change.cumsum(), sort=False):
-            here = (part["key"].iat[0], part["block"].iat[0])
+            here = (part["key"].iat[0], part["one"].iat[0], part["other"].iat[0])
             first, given = part[part["side"] == 0], part[part["side"] == 1]
             if here != group:
                 group, asked = here, first
@@ -191,30 +224,40 @@ def _alike(frames: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBa
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+    """doc_id, n_shingles, component_id, kept: one row per document; a written table."""
     table = described(docs)
-    some = table.where("n_shingles > 0 and doc_id is not null")
-    # equal sets: one node, named by its smallest doc_id
-    sets = some.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.min_by(F.struct("buckets", "sketch"), "doc_id").alias("own"))
-    nodes = common.written(sets.select("k1", "k2", "n", "node", "own.buckets", "own.sketch"), "minhash-nodes")
-    buckets = members(nodes)
+    ids = common.written(table.select("doc_id", "n", "k1", "k2"), "minhash-ids")
+    # equal sets: one node, named by its smallest doc_id; their buckets are the same
+    sets = table.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))
+    nodes = common.written(sets, "minhash-nodes")
+    common.discard(table)
+    buckets, names = members(nodes), common.written(nodes.select("k1", "k2", "n", "node"), "minhash-names")
+    common.discard(nodes)
     star = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     star = common.written(star.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct(), "minhash-stars")
     texts = texts_of(docs, buckets)
-    stars = confirmed(star, texts)
+    links = confirmed(star, texts)
     # several rows of one doc_id may be in several sets: they are one document
-    same = some.select("doc_id", "k1", "k2", F.col("n_shingles").alias("n")).join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "node")
+    same = ids.where("n > 0 and doc_id is not null").join(names, ["k1", "k2", "n"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    links = stars.unionByName(same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    found, tested = components.components(links), star
+    joined = same.join(several, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = components.components(links.unionByName(joined))
+    tested, done, sketch = star, [links, star], None
     for best in (True, False):  # the likeliest pairs first: what they join needs no further comparison
-        others = rest(buckets, nodes, found, best)
+        held = undecided(buckets, found)
+        sketch = sketch or sketched(held, texts)  # components only grow: the second pass asks about nodes of the first
+        others = likely(held, sketch, best)
         more = confirmed(others.join(tested, ["a", "b"], "left_anti"), texts)
         if not more.isEmpty():
-            found = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            last, found = found, components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            common.discard(last)
+        common.discard(held)
         tested = tested.unionByName(others)
-    common.discard(buckets, texts)
-    of_node = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("c"))
-    joined = table.join(of_node, ["k1", "k2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
-    return joined.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        done += [others, more]
+    common.discard(buckets, texts, sketch, *done)
+    of_set = names.join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("c"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id")
+    rows = ids.join(of_set, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    result = common.written(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "minhash-result")
+    common.discard(ids, names, found)
+    return result
