@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+import string
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -39,43 +40,45 @@ def byte_of_char() -> dict[str, int]:
 class PieceEncoder:
     """Ids of texts as bytes: little-endian, 32 bits each.
 
-    ``encode_pieces`` maps strings to such bytes.  The memo is keyed by the piece
-    without its leading space; False marks a piece that touches more white space.
+    ``encode_pieces`` maps strings to such bytes, ``encode_words`` pieces without their leading space, none
+    of which touches more white space.  The memo is keyed by the latter.
     Old entries are forgotten by generation: a miss costs time and changes nothing.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], memo: int = MEMO):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None, memo: int = MEMO):
         self.encode_pieces = encode_pieces
+        self.encode_words = encode_words or (lambda words: encode_pieces([" " + w for w in words]))
         self.memo = memo
-        self.young: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
-        found = {p: self.old[p] for p in pieces if p in self.old}
-        new = [p for p in pieces if p not in found]
-        found.update((p, False) for p in new if not p or p[0].isspace() or p[-1].isspace())
-        plain = [p for p in new if p not in found]
-        found.update(zip(plain, self.encode_pieces([" " + p for p in plain]), strict=True))
-        if len(self.young) + len(found) > self.memo:
-            self.old, self.young = self.young, {}
-        self.young.update(found)
-        return found
-
-    def _look_up(self, pieces: list[str]) -> list[bytes | bool]:
-        ids = list(map(self.young.get, pieces))
-        if None in ids:
-            learnt = self._learn({p for p, i in zip(pieces, ids, strict=True) if i is None})
-            ids = [learnt[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
-        return ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Afterwards the young generation holds all of ``pieces``, none of which touches white space."""
+        missing = pieces.difference(self.young)
+        if len(self.young) + len(missing) > self.memo:
+            self.old, self.young, missing = self.young, {}, pieces
+        young, old = self.young, self.old
+        new = list(missing.difference(old))
+        if len(new) < len(missing):
+            young.update((p, old[p]) for p in missing.difference(new))
+        young.update(zip(new, self.encode_words(new), strict=True))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        ids = self._look_up(rest)
-        if False in ids or first[-1:].isspace():
+        distinct = set(rest)
+        new = distinct.difference(self.young)
+        if "" in new or first[-1:].isspace() or any([p[0].isspace() or p[-1].isspace() for p in new]):
             first, *rest = _CUT.split(text)
-            ids = [i if i is not False else self.encode_pieces([" " + p])[0] for p, i in zip(rest, self._look_up(rest), strict=True)]
+            distinct = set(rest)
+            beside = {p for p in distinct.difference(self.young) if not p or p[0].isspace() or p[-1].isspace()}
+            self._learn(distinct - beside)
+            ids = [self.young[p] if p not in beside else self.encode_pieces([" " + p])[0] for p in rest]
+        else:
+            if new:
+                self._learn(distinct)
+            ids = map(self.young.__getitem__, rest)
         return (self.encode_pieces([first])[0] if first else b"") + b"".join(ids)
 
 
@@ -86,6 +89,8 @@ LATIN_END = "\u0370"
 def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
     """How a tokenizer file's texts fall into pretokens: all matches of its pattern, and whether it lower-cases.
 
+    Where it lower-cases, the space before a word is in no pretoken; elsewhere it begins the word's first.
+    Letters with punctuation behind them are two pretokens under either pattern.
     None for files of another make; their pieces go through the library whole.
     """
     pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -104,8 +109,8 @@ def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
 def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """An encoder whose ids come from the tokenizers library; one per worker and file.
 
-    Pieces of Latin text are split by the file's own pattern, and the library's model merges each
-    distinct pretoken once; other pieces, and those with a special token, go through it whole.
+    Latin words are split by the file's own pattern, and the library's model merges each
+    distinct pretoken once; other words, and those with a special token, go through it whole.
     """
     from tokenizers import Tokenizer
 
@@ -115,10 +120,10 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     tokenizer.encode_special_tokens = special_as_text
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    rule = split_rule(spec)
-    special = [t["content"] for t in spec.get("added_tokens", [])]
+    find, lower = split_rule(spec) or (None, False)
+    special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
     to_char = {b: c for c, b in byte_of_char().items()}
-    model = tokenizer.model.tokenize
+    space, model = to_char[32], tokenizer.model.tokenize
     known: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
@@ -126,29 +131,42 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def merged(pretoken: str) -> bytes:
-        nonlocal known, older
         ids = older.get(pretoken)
         if ids is None:
-            chars = pretoken.translate(to_char) if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(to_char)
+            if pretoken.isascii() and pretoken.isprintable():
+                chars = pretoken.replace(" ", space)
+            else:
+                chars = pretoken.encode().decode("latin-1").translate(to_char)
             ids = array("I", [t.id for t in model(chars)]).tobytes()
-        if len(known) >= PRETOKENS:
-            older, known = known, {}
         known[pretoken] = ids
         return ids
 
-    def split(pieces: list[str]) -> list[bytes]:
-        find, lower = rule
-        found = []
-        for piece in pieces:
-            if not piece.isascii() and max(piece) >= LATIN_END or special and not special_as_text and any(x in piece for x in special):
-                found += whole([piece])
+    def split(words: list[str]) -> list[bytes]:
+        nonlocal known, older
+        if len(known) > PRETOKENS:
+            older, known = known, {}
+        text, get, found, before = " ".join(words), known.get, [], "" if lower else " "
+        foreign = not text.isascii() and max(text) >= LATIN_END
+        marked = [x for x in special if x in text]
+        for word in words:
+            if foreign and not word.isascii() and max(word) >= LATIN_END or marked and any(x in word for x in marked):
+                found += whole([" " + word])
                 continue
             if lower:
-                piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
-            found.append(b"".join([known.get(t) or merged(t) for t in find(piece)]))
+                word = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            letters = word.rstrip(string.punctuation)
+            if letters.isalpha():
+                pretoken = before + letters
+                ids = get(pretoken) or merged(pretoken)
+                if len(letters) < len(word):
+                    rest = word[len(letters) :]
+                    ids += get(rest) or merged(rest)
+            else:
+                ids = b"".join([get(t) or merged(t) for t in find(before + word)])
+            found.append(ids)
         return found
 
-    return PieceEncoder(split if rule else whole)
+    return PieceEncoder(whole, split if find else None)
 
 
 def list_of_ids(ids: list[bytes]) -> pa.ListArray:

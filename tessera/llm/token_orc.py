@@ -1,12 +1,12 @@
 """Token ids in ORC: run-length encoded integers, row indexes, Bloom filters on doc_id.
 
-Documents are dealt to ranges of doc_id, sorted within each, and written as one
-folder of ORC files per range.  Ranges come from approximate quantiles, so they
+Texts are dealt to ranges of doc_id and sorted within each; a task encodes its range
+and writes it in that order, so ids themselves are never shuffled.  Ranges come from a sample, so they
 only balance files; the order is exact.  Readers take stripes in parallel and skip
 stripes and row groups by min, max and Bloom filter of doc_id.
 
-Defined results: null text is the empty text (the end id alone); null doc_ids come
-first; rows of one doc_id keep a fixed order (by length, then checksum); extra columns are ignored;
+Defined results: null text is the empty text (the end id alone); a text of any length is one row; null doc_ids come
+first; rows of one doc_id are ordered by text, and repeated rows are stored once each; extra columns of any name are ignored;
 an empty table gives an empty result.
 """
 
@@ -23,38 +23,29 @@ from pyspark.sql import functions as F
 from tessera.llm import common, pieces
 
 #: Documents of one range, and the most ranges; beyond, ranges grow and Spark's sort spills.
-ROWS_A_RANGE, MOST_RANGES = 8192, 4096
-SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, part int"
-
-
-def ranges_of(docs: DataFrame, rows: int = ROWS_A_RANGE, most: int = MOST_RANGES) -> list[int]:
-    """Upper ends of all ranges but the last, ascending."""
-    n = docs.select("doc_id").count()
-    parts = min(most, -(-n // rows))
-    if parts < 2:
-        return []
-    found = docs.select(F.percentile_approx(F.col("doc_id").cast("bigint"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted(set(found or []))
+ROWS_A_RANGE, MOST_RANGES = 8192, 65536
+#: part: the range's number; row: the document's place in it.
+SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, part int, row bigint"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 64 << 20, index_rows: int = 1000) -> None:
-    """Encode all texts and write doc_id, n_tokens, ids as ORC under ``path``, by range of doc_id."""
+    """Encode all texts and write them as ORC under ``path``, a file or more for each range of doc_id."""
+    parts = max(1, min(MOST_RANGES, -(-docs.select("doc_id").count() // ROWS_A_RANGE)))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs))
-    ends = np.array(ranges_of(docs), np.int64)
     last = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.library_encoder(tokenizer)
+        encoder, row = pieces.library_encoder(tokenizer), 0
         for batch in batches:
-            doc_ids = batch.column("doc_id")
             ids = [encoder.encode(t) + last for t in batch.column("text").to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
-            part = np.searchsorted(ends, np.array(doc_ids.fill_null(-(2**63))), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pieces.list_of_ids(ids), pa.array(part)], names=["doc_id", "n_tokens", "ids", "part"])
+            place = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pieces.list_of_ids(ids), batch.column("part"), place], names=["doc_id", "n_tokens", "ids", "part", "row"])
 
-    spread = docs.mapInArrow(encode, SCHEMA).repartition(len(ends) + 1, "part")
+    ranges = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_rows), "orc.create.index": "true", "compression": "zstd"}
-    spread.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens").write.options(**options).partitionBy("part").orc(path)
+    ranges.withColumn("part", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -72,13 +63,13 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
             ids = batch.column("ids")
             ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
     stored = read_tokens(spark, path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = stored.select("doc_id", "part", "ids").mapInArrow(digest, "doc_id bigint, part int, n_tokens bigint, ids_crc32 bigint")
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = stored.select("doc_id", "part", "row", "ids").mapInArrow(digest, "doc_id bigint, part int, row bigint, n_tokens bigint, ids_crc32 bigint")
     rows = rows.withColumn("local", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     # base has one row per range, MOST_RANGES at most
     return rows.join(F.broadcast(base), F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
