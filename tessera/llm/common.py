@@ -64,3 +64,11 @@ def discard(*tables: DataFrame) -> None:
 
 def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).alias(text)
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix of work columns' names that no column of ``df`` begins with, in either case."""
+    found = "w_"
+    while any(c.lower().startswith(found) for c in df.columns):
+        found = "w" + found
+    return found

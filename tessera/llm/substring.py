@@ -4,20 +4,20 @@ A window is ``WINDOW`` consecutive words.  A word goes if a window over it also
 document with a smaller doc_id.  All windows of a corpus can't be compared in one automaton, so
 content deals them to shards first: every window has an anchor, the smallest hash among its
 ``GRAM``-word runs, and equal windows have equal anchors.  Neighbouring windows with the same
-anchor occurrence form a context.  Anchors of one document only need nothing further.  Of equal
-contexts all but the first document's go as a whole.  Different contexts of one
-anchor make a reference shard: its contexts are streamed, in order of doc_id, through the suffix
-automaton of those before, and where the matching statistic reaches ``WINDOW`` a window goes.
+anchor occurrence form a context.  Anchors of one document only need nothing further.  The others are
+reference shards: each distinct context, with the smallest doc_id that has it, is a reference.
+References are added to a suffix automaton in order of doc_id, so each state knows the smallest document
+that holds its words; contexts are streamed through it, and where the matching statistic reaches
+``WINDOW`` the state names the smallest document with that window.
 
-The automata are built where their shard is; they are not broadcast, because the
-reference is the corpus itself and has no size bound.  A shard with more than ``MOST`` contexts
-(an anchor that a large part of all documents shares) is dealt on by whole windows
-instead, which is exact too and has no large group.
+A shard's references are dealt over automata of at most about ``PART`` contexts, and its contexts are streamed
+through each of these, so a task holds one automaton of bounded size however large a shard is.  The automata are built where their
+part of a shard is; they are not broadcast, because the reference is the corpus itself and has no size bound.
 
 Defined results: words are cut at ASCII white space only; null text has no words; documents of
-fewer words than a window keep all; rows of one doc_id count as one document, and each
-is cleaned; rows with a null doc_id are neither references nor cleaned; extra columns stay as they are;
-an empty table gives an empty result.
+fewer words than a window keep all; a text of any length is taken whole; rows of one doc_id count as one document, and each
+is cleaned; rows with a null doc_id are neither references nor cleaned; of equal windows the smallest doc_id's stays, so ties can't arise;
+extra columns of any name stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from tessera.llm import common
 from tessera.llm import words as W
 
 WINDOW, GRAM = 50, 8
-#: Contexts of one shard: their automaton stays under 200 MB. Larger shards go by whole windows.
-MOST = 4000
+#: References of one automaton, which so stays under 60 MB.
+PART = 1024
+#: Owners are numbered from the smallest doc_id there can be, so that -1 is none.
+LEAST_ID = -(2**63)
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _WORD_BASE = np.uint64(0xD1B54A32D192ED03)
 _WORD_INVERSE = np.uint64(pow(int(_WORD_BASE), -1, 2**64))
@@ -108,13 +110,13 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; ``add`` one, ``stream`` others."""
+    """Of several word sequences; ``add`` them by owner, ascending, then ``stream`` others."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.owner = [-1], [0], [-1]
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[int], owner: int) -> None:
         nexts, link, length = self.next, self.link, self.length
         last = 0
         for w in words:
@@ -129,6 +131,7 @@ class SuffixAutomaton:
             nexts.append({})
             length.append(length[last] + 1)
             link.append(0)
+            self.owner.append(owner)
             p = last
             while p >= 0 and w not in nexts[p]:
                 nexts[p][w] = own
@@ -139,11 +142,12 @@ class SuffixAutomaton:
             last = own
 
     def _split(self, p: int, q: int, w: int) -> int:
-        """A copy of state q for the shorter suffixes that p reaches by w."""
+        """A copy of state q for the shorter suffixes that p reaches by w; they first came with q."""
         nexts, link = self.next, self.link
         copy = len(nexts)
         nexts.append(dict(nexts[q]))
         self.length.append(self.length[p] + 1)
+        self.owner.append(self.owner[q])
         link.append(link[q])
         link[q] = copy
         while p >= 0 and nexts[p].get(w) == q:
@@ -152,75 +156,91 @@ class SuffixAutomaton:
         return copy
 
     def stream(self, words: list[int], least: int) -> list[int]:
-        """Starts of all runs of ``least`` words that occur in an added sequence."""
-        nexts, link, length = self.next, self.link, self.length
+        """For each run of ``least`` words its smallest owner, -1 where no added sequence holds it."""
+        nexts, link, length, owner = self.next, self.link, self.length, self.owner
         found, state, matched = [], 0, 0
-        for i, w in enumerate(words):
+        for w in words:
             while state > 0 and w not in nexts[state]:
                 state = link[state]
                 matched = length[state]
             if w in nexts[state]:
                 state = nexts[state][w]
                 matched += 1
-            if matched >= least:
-                found.append(i - least + 1)
-        return found
+            while state > 0 and length[link[state]] >= least:  # the state of the last ``least`` words themselves
+                state = link[state]
+                matched = length[state]
+            found.append(owner[state] if matched >= least else -1)
+        return found[least - 1 :]
 
 
-def _match_shards(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, then doc_id: windows of each context that occur in an earlier document's."""
-    anchor, automaton, waiting, owner = None, SuffixAutomaton(), [], None
-    for frame in frames:
-        out: tuple[list, list, list] = ([], [], [])
-        for a, doc_id, context, words in zip(*(frame.column(c).to_pylist() for c in ("anchor", "doc_id", "context", "values")), strict=True):
-            if a != anchor:
-                anchor, automaton, waiting, owner = a, SuffixAutomaton(), [], doc_id
-            elif doc_id != owner:
-                for earlier in waiting:
-                    automaton.add(earlier)
-                waiting, owner = [], doc_id
-            starts = automaton.stream(words, WINDOW)
-            if starts:
-                for column, value in zip(out, (doc_id, context, starts), strict=True):
-                    column.append(value)
-            waiting.append(words)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "context", "windows"])
-
-
-FLAGS = "doc_id bigint, context bigint, windows array<int>"
-
-
-def flagged(contexts: DataFrame) -> DataFrame:
-    """Of contexts (anchor, doc_id, context, hot, values), the windows that a smaller doc_id has."""
-    shards = contexts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "context")
-    small = shards.select("anchor", "doc_id", "context", "values").mapInArrow(_match_shards, FLAGS)
-    # values of hot shards are window hashes: the smallest doc_id of each, summed up before it is dealt
-    single = contexts.where("hot").select("doc_id", "context", F.posexplode("values").alias("window", "value"))
-    least = single.groupBy("value").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    large = single.join(least, "value").where("doc_id > least").groupBy("doc_id", "context").agg(F.collect_set("window").alias("windows"))
-    return small.unionByName(large)
+MATCHES = "anchor bigint, context bigint, doc_id bigint, reached bigint, windows array<int>"
 
 
-def decisions(docs: DataFrame) -> DataFrame:
-    """__id (a doc_id), whole: contexts that go, asked: array of (anchor, context, hot) whose windows must be compared; a written table."""
-    every = anchors(docs)
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("low < high").select("anchor", F.expr("c1 < c2").alias("several"))
-    rows = common.written(every.join(shared, "anchor"), "substring-shared")
-    contexts = rows.groupBy("anchor", "context", "several").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+def _match_shards(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, part, references first, doc_id: what the part's automaton says of each context.
+
+    reached: the largest of its windows' smallest owners, where all windows are matched;
+    windows: those that a document before the context's own holds.
+    """
+    here, automaton, waiting = None, SuffixAutomaton(), []
+    out: list[tuple] = []
+
+    def ask(anchor: int, context: int, doc_id: int, words: list[int]) -> None:
+        owners = automaton.stream(words, WINDOW)
+        earlier = [i for i, d in enumerate(owners) if 0 <= d < doc_id - LEAST_ID]
+        reached = max(owners) if min(owners) >= 0 else None
+        if earlier or reached is not None:
+            out.append((anchor, context, doc_id, None if reached is None else reached + LEAST_ID, earlier))
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int32()))], names=["anchor", "context", "doc_id", "reached", "windows"])
+
+    for frame in frames:
+        for anchor, part, other, doc_id, context, words in zip(*(frame.column(c).to_pylist() for c in ("anchor", "part", "other", "doc_id", "context", "values")), strict=True):
+            if (anchor, part) != here or other:
+                for row in waiting:
+                    ask(*row)
+                waiting = []
+            if (anchor, part) != here:
+                here, automaton = (anchor, part), SuffixAutomaton()
+            if other:
+                ask(anchor, context, doc_id, words)
+            else:
+                automaton.add(words, doc_id - LEAST_ID)
+                waiting.append((anchor, context, doc_id, words))
+        yield batch()
+    for row in waiting:
+        ask(*row)
+    yield batch()
+
+
+def matched(contexts: DataFrame) -> DataFrame:
+    """Of contexts (anchor, doc_id, context, parts, values): anchor, context, doc_id, reached, windows; a row for each automaton that knows some; a written table."""
+    own = F.pmod(F.xxhash64("context"), F.col("parts")).cast("int")
+    dealt = contexts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("other", F.col("part") != own)
+    shards = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "other", "doc_id", "context")
+    return common.written(shards.select("anchor", "part", "other", "doc_id", "context", "values").mapInArrow(_match_shards, MATCHES), "substring-matched")
+
+
+def asked_contexts(rows: DataFrame) -> DataFrame:
+    """doc_id, asked: for each document the (anchor, context, parts) of the contexts that no smaller doc_id has; a written table.
+
+    ``rows`` are the contexts of shared anchors.
+    """
+    contexts = rows.groupBy("anchor", "context").agg(F.min("doc_id").alias("doc_id"))
     contexts = common.written(contexts, "substring-contexts")
-    common.discard(every)
-    copies = rows.join(contexts.where("low < high").select("anchor", "context", "low"), ["anchor", "context"]).where("doc_id > low")
-    whole = copies.groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
-    shards = contexts.where("several").groupBy("anchor").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", (F.col("n") > MOST).alias("hot"))
-    asked = contexts.where("several").join(shards, "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "context", "hot")).alias("asked"))
-    plans = whole.join(asked, "doc_id", "full").select(F.col("doc_id").alias("__id"), "whole", "asked")
-    plans = common.written(plans, "substring-plans")
-    common.discard(rows, contexts)
-    return plans
+    parts = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    # both sides grow with the corpus: one plan at every size
+    asked = contexts.join(parts.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "parts")).alias("asked"))
+    asked = common.written(asked, "substring-asked")
+    common.discard(contexts)
+    return asked
 
 
 def _contexts_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, doc_id, context, hot, values: the words (or, if hot, window hashes) of the contexts asked for."""
+    """anchor, doc_id, context, parts, values: the words of the contexts asked for."""
     for frame in frames:
         ids, asked = frame.column("doc_id").to_pylist(), frame.column("asked").to_pylist()
         out: tuple[list, ...] = ([], [], [], [], [])
@@ -231,11 +251,30 @@ def _contexts_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in np.flatnonzero(np.isin(names, list(want))).tolist():
                 row = want.pop(int(names[j]), None)  # a context may come twice in a text
                 if row is not None:
-                    own = words[found.first[j] : found.last[j] + WINDOW]
-                    values = W.grams(own.view(np.uint64), WINDOW).view(np.int64) if row["hot"] else own
-                    for column, value in zip(out, (row["anchor"], ids[i], row["context"], row["hot"], values), strict=True):
+                    values = words[found.first[j] : found.last[j] + WINDOW]
+                    for column, value in zip(out, (row["anchor"], ids[i], row["context"], row["parts"], values), strict=True):
                         column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.list_(pa.int64()))], names=["anchor", "doc_id", "context", "hot", "values"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names=["anchor", "doc_id", "context", "parts", "values"])
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """doc_id, whole: contexts that go, parts: array of (context, windows) that go; a written table."""
+    every = anchors(docs)
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    rows = common.written(every.join(shared.hint("merge"), "anchor"), "substring-shared")
+    common.discard(every)
+    asked = asked_contexts(rows)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked.hint("merge"), "doc_id")
+    contexts = common.written(texts.mapInArrow(_contexts_of, "anchor bigint, doc_id bigint, context bigint, parts int, values array<bigint>"), "substring-words")
+    common.discard(asked)
+    found = matched(contexts)
+    common.discard(contexts)
+    reached = found.where("reached is not null").groupBy("anchor", "context").agg(F.min("reached").alias("reached"))
+    whole = rows.join(reached.hint("merge"), ["anchor", "context"]).where("doc_id > reached").groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
+    parts = found.where("size(windows) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("context", "windows")).alias("parts"))
+    plans = common.written(whole.join(parts, "doc_id", "full"), "substring-plans")
+    common.discard(rows, found)
+    return plans
 
 
 def kept_words(text: str | None, words: np.ndarray | None, whole: list | None, parts: list | None) -> tuple[int, int, str]:
@@ -249,9 +288,11 @@ def kept_words(text: str | None, words: np.ndarray | None, whole: list | None, p
     for j in np.flatnonzero(np.isin(names, whole)).tolist() if whole else []:
         edge[found.first[j]] += 1
         edge[found.last[j] + WINDOW] -= 1
-    windows = {p["context"]: p["windows"] for p in parts or []}
+    windows: dict[int, set[int]] = {}
+    for p in parts or []:  # a context may have a row from each of several automata
+        windows.setdefault(p["context"], set()).update(p["windows"])
     for j in np.flatnonzero(np.isin(names, list(windows))).tolist() if windows else []:
-        starts = found.first[j] + np.array(windows[int(names[j])])
+        starts = found.first[j] + np.array(sorted(windows[int(names[j])]))
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + WINDOW, -1)
     keep = np.cumsum(edge[:-1]) == 0
@@ -261,39 +302,34 @@ def kept_words(text: str | None, words: np.ndarray | None, whole: list | None, p
 RESULT = ["n_words", "n_removed", "kept"]
 
 
-def _clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for frame in frames:
-        texts, whole, parts = (frame.column(c).to_pylist() for c in ("__text", "__whole", "__parts"))
-        touched = [i for i in range(len(texts)) if whole[i] or parts[i]]
-        words = {touched[j]: w for j, w in texts_with_words([texts[i] for i in touched])}
-        rows = [kept_words(t, words.get(i), whole[i], parts[i]) for i, t in enumerate(texts)]
-        rest = [frame.column(i) for i, n in enumerate(frame.schema.names) if n not in ("__text", "__whole", "__parts")]
-        names = [n for n in frame.schema.names if n not in ("__text", "__whole", "__parts")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=[*names, *(f"__{c}" for c in RESULT)])
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, and __n_words, __n_removed, __kept (the kept words joined by one space)."""
-    plans, key = decisions(docs), F.col("doc_id").cast("bigint")
-    texts = docs.withColumn("__doc", key).join(plans.where("asked is not null").select(F.col("__id"), "asked"), F.col("__doc") == F.col("__id")).select(F.col("__doc").alias("doc_id"), "text", "asked")
-    contexts = common.written(texts.mapInArrow(_contexts_of, "anchor bigint, doc_id bigint, context bigint, hot boolean, values array<bigint>").dropDuplicates(["doc_id", "context"]), "substring-words")
-    parts = flagged(contexts).groupBy("doc_id").agg(F.collect_list(F.struct("context", "windows")).alias("parts"))
-    final = plans.where("whole is not null").select("__id", "whole").join(parts.withColumnRenamed("doc_id", "__id"), "__id", "full")
-    final = common.written(final, "substring-final")
-    common.discard(plans, contexts)
-    rows = docs.withColumn("__key", key).join(final, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
-    rows = rows.withColumnsRenamed({"whole": "__whole", "parts": "__parts"}).withColumn("__text", F.col("text"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
-    return rows.mapInArrow(_clean, schema)
+def deduplicated(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of ``docs``, and n_words, n_removed, kept (the kept words joined by one space) under a prefix; the prefix."""
+    plans, own = decisions(docs), common.free_prefix(docs)
+    plans = plans.select(F.col("doc_id").alias(own + "id"), F.col("whole").alias(own + "whole"), F.col("parts").alias(own + "parts"))
+    keyed = docs.withColumn(own + "key", F.col("doc_id").cast("bigint")).withColumn(own + "text", F.col("text"))
+    rows = keyed.join(plans, F.col(own + "key") == F.col(own + "id"), "left").drop(own + "key", own + "id")
+    work = [own + c for c in ("text", "whole", "parts")]
+
+    def clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts, whole, parts = (frame.column(c).to_pylist() for c in work)
+            touched = [i for i in range(len(texts)) if whole[i] or parts[i]]
+            words = {touched[j]: w for j, w in texts_with_words([texts[i] for i in touched])}
+            done = [kept_words(t, words.get(i), whole[i], parts[i]) for i, t in enumerate(texts)]
+            names = [n for n in frame.schema.names if n not in work]
+            yield pa.RecordBatch.from_arrays([*(frame.column(n) for n in names), pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.string())], names=[*names, *(own + c for c in RESULT)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(own + c, kind) for c, kind in zip(RESULT, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
+    return rows.mapInArrow(clean, schema), own
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: one row per document."""
-    slim = docs.select("doc_id", "text")
-    return deduplicated(slim).select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(f"__{c}").alias(c) for c in RESULT))
+    rows, own = deduplicated(docs.select("doc_id", "text"))
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(own + c).alias(c) for c in RESULT))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``; untouched texts stay as they were, as do all other columns."""
-    rows = deduplicated(docs)
-    return rows.withColumn("text", F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))).select(docs.columns)
+    rows, own = deduplicated(docs)
+    return rows.withColumn("text", F.when(F.col(own + "n_removed") > 0, F.col(own + "kept")).otherwise(F.col("text"))).select([F.col(f"`{c}`") for c in docs.columns])

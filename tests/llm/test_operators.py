@@ -237,10 +237,10 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [1000, 3])
-def test_substrings_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(substring, "MOST", most)
-    rng = random.Random(most)
+@pytest.mark.parametrize("part", [1000, 3])
+def test_substrings_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(substring, "PART", part)
+    rng = random.Random(part)
     passages = [[f"p{k}w{j}" for j in range(60 + 20 * k)] for k in range(3)]
     rows = [(2, None), (3, ""), (4, "few words only"), (None, " ".join(passages[0])), (200, LONG), (201, LONG), (202, "x y " * 60), (203, "x y " * 40)]
     for i in range(10, 60):
@@ -268,15 +268,43 @@ def test_cleaning_keeps_columns(spark):
     assert substring.cleaned(frame(spark, [])).count() == 0
 
 
+#: Names that operators use, or have used, for work columns.
+CLASHING = "whole parts asked __id __key __text __doc w_id w_text W_KEY ww_whole anchor context values windows reached low high n k1 k2 buckets sketch side one other component top blocks outside part row n_tokens start ordinal file score p_toxic toxic kept length bucket payload media spans".split()
+
+
+def clashing(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return docs.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+
+
+def test_work_names_never_clash(spark):
+    """Every operator over documents, with extra columns of every work name."""
+    rows = [(1, LONG), (2, LONG), (3, None), (None, "x"), (4, "password = abcdefgh12")]
+    docs = clashing(spark, rows)
+    out = substring.cleaned(docs)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "" if i == 2 else t for i, t in rows}
+    assert all(r[c] == f"own {c}" for r in out.collect() for c in CLASHING)
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for run in (substring.removed, minhash.near_duplicates, lambda d: bpe.round_trip(d, BYTE), lambda d: packing.pack(d, BYTE).drop("sequence_id"), lambda d: media.stored(d), lambda d: secrets.digest(secrets.scan(d))):
+        want = sorted(map(str, run(plain).collect()))
+        assert sorted(map(str, run(docs).collect())) == want
+    masked = secrets.redact(docs)
+    assert masked.columns == docs.columns and "abcdefgh12" not in {r["doc_id"]: r["text"] for r in masked.collect()}[4]
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(60):
         automaton, texts = substring.SuffixAutomaton(), [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(4)]
-        for t in texts:
-            automaton.add(t)
+        for owner, t in enumerate(texts):
+            automaton.add(t, owner)
         own = [rng.randrange(3) for _ in range(15)]
-        there = {tuple(t[a : a + 4]) for t in texts for a in range(len(t) - 3)}
-        assert automaton.stream(own, 4) == [a for a in range(12) if tuple(own[a : a + 4]) in there]
+        there = {}
+        for owner, t in enumerate(texts):
+            for a in range(len(t) - 3):
+                there.setdefault(tuple(t[a : a + 4]), owner)
+        assert automaton.stream(own, 4) == [there.get(tuple(own[a : a + 4]), -1) for a in range(12)]
 
 
 # ---- op 8 ----
