@@ -7,9 +7,11 @@ is then |q|^2 + M - 2 q.x.  In that space:
 
 1. Pivots, a bounded number of data vectors, cut data and queries into cells.
 2. A summary of each cell (its radius, the smallest distances of its ids to the pivot, its size)
-   bounds, for each cell of queries, the distance of the k-th neighbour of any query in it.
-3. A data vector is replicated to a cell of queries only if the triangle inequality allows
-   it within that bound.  Cells meet in blocks of bounded size.
+   bounds, for each cell of queries, the distance of the k-th neighbour of any query in it; the k-th
+   neighbours that queries find in their own cell lower that bound.
+3. Neighbouring cells of queries form groups of up to ``QUERY_BLOCK`` queries.  A data vector is replicated
+   once to a group, and only if the triangle inequality allows it within the bound of one of its cells; so a vector has
+   at most as many copies as there are groups and blocks of queries.  Groups and data meet in blocks of bounded size.
 4. Blocks are solved by whole-number products; each block keeps k rows a query, which are merged.
 
 Bounds are loosened by a relative slack, so rounding never drops a neighbour; scores are exact.
@@ -95,24 +97,55 @@ def placed(rows: DataFrame, pivots: np.ndarray, top: float, is_query: bool) -> D
     return rows.mapInArrow(place, "id bigint, v array<bigint>, n2 double, cell int, d double")
 
 
-def routes(data: pd.DataFrame, queries: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> list[tuple]:
-    """(cell of queries, cell of data, least and largest distance to the pivot) of what must be replicated.
+def between(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0))
 
-    ``data``, ``queries``: a row for each cell with its largest distance to the pivot;
+
+def summary_bounds(queries: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> dict[int, float]:
+    """For each cell of queries a distance within which all its queries have k neighbours, from summaries alone.
+
+    ``queries``: a row for each cell with its largest distance to the pivot;
     ``near``: the smallest distances of k + 1 ids of each data cell (one id may be the query's own, with any number of rows).
     """
-    between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0))
-    found = []
+    apart, found = between(pivots), {}
     for i, radius in zip(queries["cell"], queries["far"], strict=True):
         # an id counts once, by its nearest row: whatever id asks, k others are within the bound
-        reach = np.sort(pd.Series(radius + between[i, near["cell"]] + near["d"].to_numpy()).groupby(near["id"].to_numpy()).min().to_numpy())
-        bound = reach[k] if len(reach) > k else np.inf  # the k-th besides the query's own id
+        reach = np.sort(pd.Series(radius + apart[i, near["cell"]] + near["d"].to_numpy()).groupby(near["id"].to_numpy()).min().to_numpy())
+        found[int(i)] = float(reach[k]) if len(reach) > k else np.inf  # the k-th besides the query's own id
+    return found
+
+
+def groups(queries: pd.DataFrame, pivots: np.ndarray, most: int) -> dict[int, int]:
+    """The group of each cell of queries: cells along a chain of nearest pivots share one while they hold ``most`` queries at most."""
+    apart, size = between(pivots), dict(zip(queries["cell"].tolist(), queries["n"].tolist(), strict=True))
+    found: dict[int, int] = {}
+    left, at, group, held = set(size), min(size), 0, 0
+    while left:
+        at = min(left, key=lambda c: (apart[at, c], c))
+        left.remove(at)
+        if held and held + size[at] > most:
+            group, held = group + 1, 0
+        found[at] = group
+        held += size[at]
+    return found
+
+
+def routes(data: pd.DataFrame, queries: pd.DataFrame, bounds: dict[int, float], of: dict[int, int], pivots: np.ndarray) -> list[tuple]:
+    """(group of queries, cell of data, least and largest distance to the pivot) of what must be replicated.
+
+    ``data``, ``queries``: a row for each cell with its largest distance to the pivot.  A group needs what one of its cells needs.
+    """
+    apart, found = between(pivots), {}
+    for i, radius in zip(queries["cell"], queries["far"], strict=True):
+        bound = bounds[i]
         for j, far in zip(data["cell"], data["far"], strict=True):
-            slack = SLACK * (1 + far + radius + between[i, j]) + 1e-3
-            low, high = between[i, j] - radius - bound - slack, between[i, j] + radius + bound + slack
+            slack = SLACK * (1 + far + radius + apart[i, j]) + 1e-3
+            low, high = apart[i, j] - radius - bound - slack, min(apart[i, j] + radius + bound + slack, 1e300)
             if low <= far:
-                found.append((int(i), int(j), float(low), float(min(high, 1e300))))
-    return found
+                key = (of[i], int(j))
+                before = found.get(key, (low, high))
+                found[key] = (float(min(low, before[0])), float(max(high, before[1])))
+    return [(g, j, low, high) for (g, j), (low, high) in sorted(found.items())]
 
 
 def top_rows(q_ids, q, x_ids, x, k: int) -> dict[str, np.ndarray]:
@@ -150,6 +183,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
     rows = vectors(table, id_column, vector_column)
     facts = rows.agg(F.max("n2").alias("top"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     if not facts["n"]:
+        common.discard(rows)
         return spark.createDataFrame([], result)
     top, width = facts["top"], facts["width"]
     first = Window.partitionBy("id").orderBy("v")
@@ -163,31 +197,50 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
     per_cell = lambda df: df.groupBy("cell").agg(F.max("d").alias("far"), F.count("*").alias("n")).orderBy("cell").toPandas()
     nearest, cells, asked_cells = smallest(data, k + 1), per_cell(data), per_cell(queries)
     if not len(asked_cells):
+        common.discard(rows, data, queries)
         return spark.createDataFrame([], result)
-    plan = routes(cells, asked_cells, nearest, centres, k)
-
-    # blocks: what is replicated to a cell of queries is dealt over as many parts as its size needs
-    size = {int(c): int(n) for c, n in zip(cells["cell"], cells["n"], strict=True)}
-    own = {int(c): int(n) for c, n in zip(asked_cells["cell"], asked_cells["n"], strict=True)}
-    parts = {i: -(-sum(size[j] for a, j, _, _ in plan if a == i) // data_block) for i in own}
-    blocks = {i: -(-n // query_block) for i, n in own.items()}
-    table_of = spark.createDataFrame([(i, j, low, high, parts[i], blocks[i]) for i, j, low, high in plan], "to int, cell int, low double, high double, parts int, blocks int")
-    # PIVOTS squared rows at most
-    sent = data.join(F.broadcast(table_of), "cell").where((F.col("d") >= F.col("low")) & (F.col("d") <= F.col("high")))
-    sent = sent.select("to", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-    sizes = spark.createDataFrame([(i, parts[i], blocks[i]) for i in own if parts[i]], "to int, parts int, blocks int")
-    asking = queries.join(F.broadcast(sizes), queries["cell"] == sizes["to"])
-    asking = asking.select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(top_rows(left["id"].to_numpy(), padded(list(left["v"]), width), right["id"].to_numpy(), padded(list(right["v"]), width), k))
-
-    key = ["to", "part", "block"]
-    local = asking.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
+    size, own = ({int(c): int(n) for c, n in zip(t["cell"], t["n"], strict=True)} for t in (cells, asked_cells))
+
+    def met(plan: list[tuple], of: dict[int, int]) -> DataFrame:
+        """query_id, vec_id, score: k rows a query of each block, of what the plan brings to each group of query cells."""
+        held, asking_in = {g: 0 for g in of.values()}, {g: 0 for g in of.values()}
+        for g, j, _, _ in plan:
+            held[g] += size.get(j, 0)
+        for i, g in of.items():
+            asking_in[g] += own[i]
+        parts, blocks = ({g: max(1, -(-n // most)) for g, n in counts.items()} for counts, most in ((held, data_block), (asking_in, query_block)))
+        # PIVOTS squared rows at most
+        table_of = spark.createDataFrame([(g, j, low, high, parts[g], blocks[g]) for g, j, low, high in plan], "to int, cell int, low double, high double, parts int, blocks int")
+        sent = data.join(F.broadcast(table_of), "cell").where((F.col("d") >= F.col("low")) & (F.col("d") <= F.col("high")))
+        sent = sent.select("to", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+        sizes = spark.createDataFrame([(i, g, parts[g], blocks[g]) for i, g in of.items()], "cell int, to int, parts int, blocks int")
+        asking = queries.join(F.broadcast(sizes), "cell")
+        asking = asking.select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "id", "v")
+
+        def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame(top_rows(left["id"].to_numpy(), padded(list(left["v"]), width), right["id"].to_numpy(), padded(list(right["v"]), width), k))
+
+        key = ["to", "part", "block"]
+        return asking.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
+
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nth = lambda rows: rows.withColumn("rank", F.row_number().over(rank))
+    bounds = summary_bounds(asked_cells, nearest, centres, k)
+    # the k-th neighbour in a query's own cell is no nearer than its k-th of all
+    alone = met([(i, i, 0.0, 1e300) for i in own if i in size], {i: i for i in own if i in size})
+    kth = nth(alone).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    reach = F.sqrt(F.greatest(F.lit(0.0), F.col("n2") + F.lit(float(top)) - 2 * F.col("kth").cast("double")))
+    found = queries.join(kth, "id", "left").groupBy("cell").agg(F.max(reach).alias("reach"), F.count_if(F.col("kth").isNull()).alias("open"))
+    for r in found.collect():  # a row for each cell
+        if not r["open"]:
+            bounds[r["cell"]] = min(bounds[r["cell"]], r["reach"])
+    of = groups(asked_cells, centres, query_block)
+    local = met(routes(cells, asked_cells, bounds, of, centres), of)
+    answer = common.written(nth(local).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "knn-result")
+    common.discard(rows, data, queries)
+    return answer
 
 
 def smallest(data: DataFrame, count: int) -> pd.DataFrame:
