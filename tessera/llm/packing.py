@@ -3,11 +3,12 @@
 Each document's ids are cut into pieces whose lengths are powers of two (full
 sequences first, then the binary digits of the rest, largest first).  A piece is
 a sequence of its own and shares a length bucket with equal pieces, so no sequence
-crosses documents and none needs padding.
+crosses documents and none needs padding.  A bucket is a range of sequence_id: the power stands in its
+highest bits, so pieces need no exchange to be numbered by bucket.
 
 Defined results: null text is the empty text, whose document is the separator
-alone; a null doc_id stays null; repeated rows are packed once each; extra columns
-are ignored; an empty table gives an empty result.
+alone; a text of any length is cut whole; a null doc_id stays null; repeated rows are packed once each, so ties can't
+arise; extra columns of any name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, pieces
 
+#: Bits of a sequence's number below its bucket's power: 33 for a row within its task, 25 for the task.
+BUCKET_SHIFT = 58
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_le binary"
 
 
@@ -34,7 +37,7 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 0, longest: int = 102
     """One row per piece: doc_id, start, length, doc_tokens, ids_le, sequence_id, offset, bucket.
 
     ``ids_le`` holds the ids, little-endian, 32 bits each.  ``longest`` is a power of two.
-    ``bucket`` is the piece's length; ``write_buckets`` stores sequences by it.
+    ``bucket`` is the piece's length, 2 to the power sequence_id >> ``BUCKET_SHIFT``; ``write_buckets`` stores sequences by it.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -54,9 +57,24 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 0, longest: int = 102
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids_le"])
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs)).mapInArrow(cut, SCHEMA)
-    return found.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("bucket"))
+    power = F.bit_count(F.col("length") - 1).cast("bigint")  # of a power of two
+    number = F.shiftleft(power, BUCKET_SHIFT) + F.monotonically_increasing_id()
+    return found.select("*", number.alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("bucket"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
     """Store sequences as Parquet, a folder for each length."""
     packed.write.partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """sequence_id, ids (exactly ``length`` of them) of one bucket; no other folder is read."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column("ids_le").to_pylist()), "<i4")
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * length
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["sequence_id", "ids"])
+
+    stored = spark.read.parquet(path).where(F.col("bucket") == length)
+    return stored.select("sequence_id", "ids_le").mapInArrow(whole, "sequence_id bigint, ids array<int>")

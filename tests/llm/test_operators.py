@@ -105,6 +105,18 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), BYTE).count() == 0
 
 
+def test_packing_buckets(spark, tmp_path):
+    """Every sequence lies in the bucket of its length, by number and by folder, and buckets hold all ids."""
+    packed = packing.pack(frame(spark, DIRTY), BYTE, longest=64)
+    rows = packed.collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    assert all(1 << (r["sequence_id"] >> packing.BUCKET_SHIFT) == r["length"] == r["bucket"] for r in rows)
+    packing.write_buckets(packed, f"file://{tmp_path}/buckets")
+    for length in {r["length"] for r in rows}:
+        got = sorted((r["sequence_id"], le(r["ids"])) for r in packing.read_bucket(spark, f"file://{tmp_path}/buckets", length).collect())
+        assert got == sorted((r["sequence_id"], bytes(r["ids_le"])) for r in rows if r["length"] == length)
+
+
 def test_bpe_equals_library():
     coder, _ = bpe.prepared(BYTE)
     rng, library = random.Random(9), Tokenizer.from_file(BYTE)
