@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = prepared(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = [encoder.encode(t) for t in batch.column("text").to_pylist()]
             decoded = [bpe.decode(np.frombuffer(i, "<u4").astype(np.int64)).decode("utf-8", "replace") for i in ids]
             n = pa.array([len(i) // 4 for i in ids], pa.int64())
@@ -211,7 +211,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = prepared(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [None if i is None else bpe.decode(np.frombuffer(i, "<u4").astype(np.int64)).decode("utf-8", "replace") for i in batch.column("ids_le").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,10 @@ def free_prefix(df: DataFrame) -> str:
     while any(c.lower().startswith(found) for c in df.columns):
         found = "w" + found
     return found
+
+
+def slices(frames: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: a worker then holds the Python objects of so many rows only."""
+    for frame in frames:
+        for at in range(0, frame.num_rows, rows):
+            yield frame.slice(at, rows)

@@ -89,7 +89,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, n, the set's key (k1, k2) and its buckets; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in (f.slice(at, _DOCS) for f in frames for at in range(0, f.num_rows, _DOCS)):
+        for frame in common.slices(frames, _DOCS):
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
             keys = np.array([[W.mix(s).sum(), W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
             buckets = _lists(bands(signatures(sets, BANDED)))
@@ -103,7 +103,7 @@ def sketched(held: DataFrame, texts: DataFrame) -> DataFrame:
     """node, n, buckets, sketch of the nodes of ``held``, from their texts; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in (f.slice(at, _DOCS) for f in frames for at in range(0, f.num_rows, _DOCS)):
+        for frame in common.slices(frames, _DOCS):
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
             signed = signatures(sets, HASHES)
             sketch = pa.array([row.tobytes() for row in sketches(signed)], pa.binary())
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for frame in frames:
+        for frame in common.slices(frames, _DOCS):
             a, b, text_a, text_b = (frame.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             sets_a = W.shingle_sets(text_a, SHINGLE)
             fresh = [i for i in range(len(b)) if text_b[i] != (text_b[i - 1] if i else last[0])]

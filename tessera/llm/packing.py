@@ -3,8 +3,8 @@
 Each document's ids are cut into pieces whose lengths are powers of two (full
 sequences first, then the binary digits of the rest, largest first).  A piece is
 a sequence of its own and shares a length bucket with equal pieces, so no sequence
-crosses documents and none needs padding.  A bucket is a range of sequence_id: the power stands in its
-highest bits, so pieces need no exchange to be numbered by bucket.
+crosses documents and none needs padding.  The power stands in the lowest
+bits of sequence_id, so a number names its bucket and pieces need no exchange.
 
 Defined results: null text is the empty text, whose document is the separator
 alone; a text of any length is cut whole; a null doc_id stays null; repeated rows are packed once each, so ties can't
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, pieces
 
-#: Bits of a sequence's number below its bucket's power: 33 for a row within its task, 25 for the task.
-BUCKET_SHIFT = 58
+#: The lowest bits of a sequence's number: its bucket's power.
+BUCKET_BITS = 5
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_le binary"
 
 
@@ -37,7 +37,7 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 0, longest: int = 102
     """One row per piece: doc_id, start, length, doc_tokens, ids_le, sequence_id, offset, bucket.
 
     ``ids_le`` holds the ids, little-endian, 32 bits each.  ``longest`` is a power of two.
-    ``bucket`` is the piece's length, 2 to the power sequence_id >> ``BUCKET_SHIFT``; ``write_buckets`` stores sequences by it.
+    ``bucket`` is the piece's length, 2 to the power of the lowest ``BUCKET_BITS`` bits of sequence_id; ``write_buckets`` stores sequences by it.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 0, longest: int = 102
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.library_encoder(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = memoryview(encoder.encode(text) + end)
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 0, longest: int = 102
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs)).mapInArrow(cut, SCHEMA)
     power = F.bit_count(F.col("length") - 1).cast("bigint")  # of a power of two
-    number = F.shiftleft(power, BUCKET_SHIFT) + F.monotonically_increasing_id()
+    number = F.shiftleft(F.monotonically_increasing_id(), BUCKET_BITS) + power
     return found.select("*", number.alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("bucket"))
 
 

@@ -256,7 +256,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
-        for frame in frames:
+        for frame in common.slices(frames):
             rows = [[{"kind": k, "start": a, "end": b, "text": t[a:b]} for k, a, b in spans_of(t)] for t in frame.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
@@ -282,7 +282,7 @@ def redact(docs: DataFrame) -> DataFrame:
     fields = docs.schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             i = frame.schema.get_field_index("text")
             texts = pa.array([None if t is None else redacted(t) for t in frame.column(i).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if j == i else c for j, c in enumerate(frame.columns)], names=frame.schema.names)

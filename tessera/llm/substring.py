@@ -93,7 +93,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, anchor, context of every context; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             ids, sizes, rows = np.asarray(frame.column("doc_id")), [], []
             for i, words in texts_with_words(frame.column("text").to_pylist()):
                 found = Contexts(words)
@@ -197,7 +197,7 @@ def _match_shards(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int32()))], names=["anchor", "context", "doc_id", "reached", "windows"])
 
-    for frame in frames:
+    for frame in common.slices(frames):
         for anchor, part, other, doc_id, context, words in zip(*(frame.column(c).to_pylist() for c in ("anchor", "part", "other", "doc_id", "context", "values")), strict=True):
             if (anchor, part) != here or other:
                 for row in waiting:
@@ -241,7 +241,7 @@ def asked_contexts(rows: DataFrame) -> DataFrame:
 
 def _contexts_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """anchor, doc_id, context, parts, values: the words of the contexts asked for."""
-    for frame in frames:
+    for frame in common.slices(frames):
         ids, asked = frame.column("doc_id").to_pylist(), frame.column("asked").to_pylist()
         out: tuple[list, ...] = ([], [], [], [], [])
         for i, words in texts_with_words(frame.column("text").to_pylist()):
@@ -311,7 +311,7 @@ def deduplicated(docs: DataFrame) -> tuple[DataFrame, str]:
     work = [own + c for c in ("text", "whole", "parts")]
 
     def clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             texts, whole, parts = (frame.column(c).to_pylist() for c in work)
             touched = [i for i in range(len(texts)) if whole[i] or parts[i]]
             words = {touched[j]: w for j, w in texts_with_words([texts[i] for i in touched])}

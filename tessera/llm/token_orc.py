@@ -36,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = pieces.library_encoder(tokenizer), 0
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = [encoder.encode(t) + last for t in batch.column("text").to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             place = pa.array(np.arange(row, row + len(ids)))
@@ -59,7 +59,7 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = batch.column("ids")
             ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -116,7 +116,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
     names = list(categories)
 
     def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             words = pa.array([sorted(words_of(t)) for t in frame.column("text").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), words, *frame.columns[2:]], names=["doc_id", "words", *names])
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             p = chain.score(frame.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), *(pa.array(p[:, c]) for c in range(len(names)))], names=["doc_id", *names])
 
@@ -175,7 +175,7 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
     c, schema = chain.categories.index(category), docs.schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in common.slices(frames):
             p = chain.score([t or "" for t in frame.column("text").to_pylist()])
             yield frame.filter(pa.array(p[:, c] < threshold))
 
