@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.discard(last)  # the next stage reads this one's rows only
     return STAGES[-1][1](spark, docs, sf_dir)

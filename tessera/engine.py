@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,28 @@ HEAVIEST = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both write; a folder of our own only where the session names none."""
+    """Where driver and executors both write; a folder of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in the shared folder: computed once, without lineage."""
-    path = f"{shared_folder(rows.sparkSession)}/regions-{uuid.uuid4().hex}"
+def written(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """``rows`` as a table in the shared folder, or a folder of it: computed once, without lineage."""
+    path = f"{folder or shared_folder(rows.sparkSession)}/regions-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def selected(points: DataFrame, query: RegionQuery) -> DataFrame:
     """lon, lat, w of the points that pass the query's filters."""
     rows = filters.in_box(filters.located(points), query.bbox)
@@ -40,7 +48,7 @@ def selected(points: DataFrame, query: RegionQuery) -> DataFrame:
     return filters.weighted(rows, query.f)
 
 
-def candidates_for(weights: DataFrame, query: RegionQuery) -> DataFrame:
+def candidates_for(weights: DataFrame, query: RegionQuery, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Windows that may be among the results: those that reach the threshold, where no weight is negative.
 
     The threshold comes from cell sums first, then, larger as a rule, from the best windows of the heaviest cells:
@@ -63,23 +71,28 @@ def candidates_for(weights: DataFrame, query: RegionQuery) -> DataFrame:
 def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:
     """rank, lon, lat, score: the query's k best regions, fewer if there are fewer."""
     spark, name = points.sparkSession, model.strategy_name(query.algo)
+    folder = f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    keep = lambda rows: written(rows, folder)
     weights = selected(points, query)
     if name == "uniform":
         return scoring.uniform_grid(weights, query.eps, query.topk)
-    weights = written(filters.merged(weights))
-    found = candidates_for(weights, query)
+    weights = keep(filters.merged(weights))
+    found = candidates_for(weights, query, keep)
     if not query.dist:
         best = found.orderBy(F.desc("score"), "lon", "lat").limit(query.topk)
-        return bounds.rank_all(best).select("rank", "lon", "lat", "score")
-    found, k, eps = written(found), query.topk, query.eps
+        best = written(bounds.rank_all(best).select("rank", "lon", "lat", "score"))
+        delete(spark, folder)
+        return best
+    found, k, eps = keep(found), query.topk, query.eps
     if name == "hybrid":
-        rows = selection.hybrid(found, k, eps, written)
+        rows = selection.hybrid(found, k, eps, keep)
     elif name == "multi_round":
         rows = selection.multi_round(found, k, eps, query.kprime)
     elif name == "approximate":
         rows = selection.approximate(found, k, eps, query.sigma)
     else:
         rows = selection.single_round(found, k, eps)
+    delete(spark, folder)
     return spark.createDataFrame([(n, lon, lat, score) for n, (score, lon, lat) in enumerate(rows, 1)], model.RESULT)
 
 

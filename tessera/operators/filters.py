@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,18 @@ from tessera.model import absent
 
 
 def located(points: DataFrame) -> DataFrame:
-    return points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    """Points with both coordinates; null and NaN are none."""
+    return points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan(F.col("lon").cast("double")) & ~F.isnan(F.col("lat").cast("double")))
 
 
 def with_keywords(points: DataFrame, column: str | None, keywords: str | None, separator: str = ";", casefold: bool = False) -> DataFrame:
     """Points that have one of the keywords; unused if the column is absent."""
     if absent(column):
         return points
-    have, wanted = F.split(F.col(column), separator), (keywords or "").split(separator)
+    pattern = re.escape(separator)  # the separator is meant as it stands, on both sides
+    have, wanted = F.split(F.col(column), pattern), (keywords or "").split(separator)
     if casefold:
-        have = F.transform(F.split(F.lower(F.col(column)), separator), lambda k: F.trim(k))
+        have = F.transform(F.split(F.lower(F.col(column)), pattern), lambda k: F.trim(k))
         wanted = [k.strip().lower() for k in wanted]
     return points.where(F.arrays_overlap(have, F.array(*map(F.lit, wanted))))
 

@@ -78,19 +78,22 @@ def single_round(candidates: DataFrame, k: int, eps: float) -> list[Region]:
     return greedy(in_order(candidates), k, eps)
 
 
-def decided(candidates: DataFrame, eps: float, checkpoint, most_rounds: int = 200) -> DataFrame:
-    """All regions that greedy selection would pick, by rounds of a distributed elimination.
+def decided(candidates: DataFrame, eps: float, checkpoint, k: int | None = None) -> DataFrame:
+    """Regions that greedy selection would pick, by rounds of a distributed elimination: all, or the k best at least.
 
     A candidate without a better undecided neighbour is picked, and its neighbours go; the best one left is always
-    decided, so this ends.  ``checkpoint`` cuts a table's lineage.
+    decided, so this ends, and after k rounds at the latest k picks are better than all that is open.  ``checkpoint`` cuts a table's lineage.
     """
     e = F.lit(float(eps))
     around = F.sequence(F.lit(-1), F.lit(1))
     cells = candidates.select("score", "lon", "lat", F.floor(F.col("lon") / e).alias("i"), F.floor(F.col("lat") / e).alias("j"))
     open_, picked = checkpoint(cells), None
-    for _ in range(most_rounds):
-        if open_.isEmpty():
-            break
+    while (best := open_.orderBy(F.desc("score"), "lon", "lat").select("score", "lon", "lat").first()) is not None:
+        if k is not None and picked is not None:
+            s, x, y = (F.lit(v) for v in best)
+            ahead = (F.col("score") > s) | (F.col("score") == s) & ((F.col("lon") < x) | (F.col("lon") == x) & (F.col("lat") < y))
+            if picked.where(ahead).limit(k).count() == k:
+                break
         near = open_.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
         near = near.select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), F.col("score").alias("s"), F.col("lon").alias("x"), F.col("lat").alias("y"))
         touching = (F.abs(F.col("x") - F.col("lon")) <= e) & (F.abs(F.col("y") - F.col("lat")) <= e)
@@ -101,8 +104,6 @@ def decided(candidates: DataFrame, eps: float, checkpoint, most_rounds: int = 20
         gone = open_.join(reach, ["i", "j"]).where(touching).select("lon", "lat").distinct()
         open_ = checkpoint(open_.join(gone, ["lon", "lat"], "left_anti").select("score", "lon", "lat", "i", "j"))
         picked = won if picked is None else picked.unionByName(won)
-    else:
-        raise RuntimeError("elimination did not settle")
     return (picked if picked is not None else open_).select("score", "lon", "lat")
 
 
@@ -111,7 +112,7 @@ def hybrid(candidates: DataFrame, k: int, eps: float, checkpoint) -> list[Region
     n = 64 * k
     while True:
         part = checkpoint(candidates.orderBy(F.desc("score"), "lon", "lat").limit(n))
-        found = [tuple(r) for r in decided(part, eps, checkpoint).orderBy(F.desc("score"), "lon", "lat").limit(k).collect()]
+        found = [tuple(r) for r in decided(part, eps, checkpoint, k).orderBy(F.desc("score"), "lon", "lat").limit(k).collect()]
         if len(found) == k or part.count() < n:
             return found
         n *= 8

@@ -8,7 +8,7 @@ left and below, so each cell's windows can be formed from that block alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,16 @@ def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.nda
     ty = np.unique(np.concatenate([y[j == at[1]], y[j == at[1] - 1] + eps]))
     if not len(tx) or not len(ty):
         return (np.zeros(0),) * 3
-    in_y = (y[None, :] <= ty[:, None]) & (y[None, :] + eps > ty[:, None])
-    heavy = in_y.astype(float).T
     found: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, len(tx), max(1, STEP // max(len(x), len(ty)))):
-        own = tx[a : a + max(1, STEP // max(len(x), len(ty)))]
-        in_x = (x[None, :] <= own[:, None]) & (x[None, :] + eps > own[:, None])
-        scores = (in_x * w[None, :]) @ heavy
+    width = max(1, STEP // len(x))  # corners of one step on either axis: no matrix has many more than STEP entries
+    over = lambda v, corners: (v[None, :] <= corners[:, None]) & (v[None, :] + eps > corners[:, None])
+    for a, e in product(range(0, len(tx), width), range(0, len(ty), width)):
+        if e == 0:
+            in_x = over(x, tx[a : a + width])
+            weight_x = in_x * w[None, :]
+        in_y = over(y, ty[e : e + width])
+        heavy = in_y.astype(float).T
+        scores = weight_x @ heavy
         fits = scores >= theta - 1e-9 * abs(theta)
         if theta <= 0:  # a window without points has no centre
             fits &= in_x.astype(float) @ heavy > 0

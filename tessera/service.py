@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import queue
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
@@ -39,10 +41,18 @@ class RegionService:
             rows = [r for r in self.results.values() if r["out"] or r["error"]]
             render.replace_file(self.conf.results, "".join(json.dumps(r) + "\n" for r in rows))
 
+    def source(self) -> str:
+        """What tells sources apart, without the password or other parts of the address."""
+        return hashlib.sha256(f"{self.conf.jdbc_url} {self.conf.user}".encode()).hexdigest()[:16]
+
+    def extracts(self) -> str:
+        """The folder of the source's extracts."""
+        return f"{self.conf.extracts}/{self.source()}"
+
     def _extract(self, query: RegionQuery) -> DataFrame:
         columns = [query.keywords_column, query.keywords_column2, query.f]
         fetch = lambda: tables.read_jdbc(self.spark, self.conf.jdbc_url, query.input, columns, self.conf.user, self.conf.password)
-        return tables.cached_extract(self.spark, self.conf.extracts, query.input, columns, fetch)
+        return tables.cached_extract(self.spark, self.extracts(), query.input, columns, fetch)
 
     def _work(self) -> None:
         while True:
@@ -60,7 +70,10 @@ class RegionService:
             with self.lock:
                 if key in self.results:
                     self.results[key] |= {"out": out, "error": error}
-            self._persist()
+            try:
+                self._persist()
+            except OSError as e:  # answers stay in memory; the next query tries again
+                print(f"results were not saved: {e}", file=sys.stderr)
             self.busy.clear()
             self.jobs.task_done()
 
@@ -69,7 +82,7 @@ class RegionService:
             query = RegionQuery.from_parameters({"algo": self.conf.algo, "partitions": self.conf.partitions, **given})
         except model.InvalidQuery as e:
             return f"Error: {e}"
-        key = json.dumps(query.key())
+        key = json.dumps([self.source(), *query.key()])
         with self.lock:
             row = self.results.get(key)
             if row is None:
@@ -90,6 +103,9 @@ class RegionService:
         return "Done"
 
     def change_source(self, url: str = "", username: str = "", password: str = "", **_: str) -> str:
+        """From now on queries go to this source; answers and extracts of others are kept apart."""
+        if not (url.strip() and username.strip() and password.strip()):
+            return "Error: url, username and password are needed"
         self.conf.jdbc_url, self.conf.user, self.conf.password = url, username, password
         return "Done"
 
@@ -102,13 +118,14 @@ class RegionService:
         return "Done"
 
     def remove_tables(self, table: str = "", **_: str) -> str:
-        """Forget extracts of a table, or all."""
+        """Forget the source's extracts of a table, or all."""
         jvm = self.spark.sparkContext._jvm
-        pattern = f"{self.conf.extracts}/" + (tables.extract_name(table, []) + "*" if table else "*")
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.extracts()}/*")
+        store, own = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), tables.extract_name(table, [])
         for status in store.globStatus(path) or []:
-            store.delete(status.getPath(), True)
+            name = status.getPath().getName()
+            if not table or name == own or name.startswith(own + "-"):  # columns follow a hyphen, which no table name has
+                store.delete(status.getPath(), True)
         return "Done"
 
     def answer(self, path: str, given: dict) -> str | None:

@@ -213,3 +213,28 @@ def test_kernel_scores_do_not_depend_on_the_block():
     whole = windows.kernel(x, y, w, zero, zero, (0, 0), 1.0, 0.0)
     parts = [windows.kernel(x, y, w, zero, zero, (0, 0), 1.0, 0.0, p, 3) for p in range(3)]
     assert sorted(zip(*whole)) == sorted(t for p in parts for t in zip(*p))
+
+
+def test_separator_is_no_pattern(spark):
+    points = spark.createDataFrame([(0.0, 0.0, "ab|c"), (1.0, 1.0, "a|b")], "lon double, lat double, k string")
+    assert [r["k"] for r in filters.with_keywords(points, "k", "ab", separator="|").collect()] == ["ab|c"]
+
+
+def test_nan_is_no_place(spark):
+    points = spark.createDataFrame([(0.0, float("nan")), (float("nan"), 0.0), (1.0, 1.0), (None, 1.0)], "lon double, lat double")
+    assert filters.located(points).count() == 1
+
+
+def test_chain_of_falling_scores(spark):
+    """Each region conflicts with the next: elimination decides one a round, and stops once k are certain."""
+    chain = spark.createDataFrame([(1000.0 - n, 0.75 * n, 0.0) for n in range(640)], "score double, lon double, lat double")
+    assert selection.hybrid(chain, 3, 1.0, engine.written) == selection.single_round(chain, 3, 1.0) == [(1000.0 - 2 * n, 1.5 * n, 0.0) for n in range(3)]
+
+
+def test_kernel_in_steps_equals_one_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 64, 120) / 32, rng.integers(0, 64, 120) / 32, rng.integers(1, 9, 120).astype(float)
+    i, j = np.floor(x).astype(int), np.floor(y).astype(int)
+    whole = sorted(zip(*windows.kernel(x, y, w, i, j, (1, 1), 1.0, 20.0)))
+    monkeypatch.setattr(windows, "STEP", 1000)
+    assert sorted(zip(*windows.kernel(x, y, w, i, j, (1, 1), 1.0, 20.0))) == whole and whole

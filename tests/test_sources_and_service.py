@@ -87,3 +87,34 @@ def test_entry_contract(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 40
     assert __spark_entry__.entry(spark).columns == ["rank", "lon", "lat", "score"]
+
+
+def test_sources_are_kept_apart(spark, tmp_path):
+    conf = EngineConf(extracts=f"file://{tmp_path}/extracts", results=str(tmp_path / "results.jsonl"), jdbc_url="jdbc:a", user="u", password="p")
+    asked = []
+    points = spark.createDataFrame([(0.0, 0.0), (0.1, 0.1)], "lon double, lat double")
+    work = RegionService(spark, conf, load=lambda query: asked.append(query.input) or points)
+    given = {"topk": "1", "eps": "1", "table": "poi"}
+    work.ask(given)
+    work.jobs.join()
+    assert json.loads(work.ask(given))[0]["score"] == 2.0 and asked == ["poi"]
+    assert work.change_source(" ", "u", "p").startswith("Error") and conf.jdbc_url == "jdbc:a"
+    assert work.change_source("jdbc:b", "u", "p") == "Done"
+    assert "submitted" in work.ask(given)
+    work.jobs.join()
+    assert asked == ["poi", "poi"]
+    folder = tmp_path / "extracts" / work.source()
+    for name in ("poi", "poi-f", "poison", "poi2-f"):
+        (folder / name).mkdir(parents=True)
+    assert work.remove_tables("poi") == "Done"
+    assert sorted(p.name for p in folder.iterdir()) == ["poi2-f", "poison"]
+
+
+def test_worker_survives_a_failed_save(spark, tmp_path):
+    conf = EngineConf(results=str(tmp_path / "no folder" / "results.jsonl"))
+    points = spark.createDataFrame([(0.0, 0.0)], "lon double, lat double")
+    work = RegionService(spark, conf, load=lambda query: points)
+    for eps in ("1", "2"):
+        work.ask({"topk": "1", "eps": eps})
+        work.jobs.join()
+        assert json.loads(work.ask({"topk": "1", "eps": eps}))[0]["score"] == 1.0
