@@ -113,4 +113,5 @@ def counts(docs: DataFrame, tokenizer: str, separator: int, dtype: str = "<u2",
     path = common.new_path(spark, "tokens")
     names = write_flat(docs, path, tokenizer, separator, dtype)
     found = stitched(scan_blocks(blocks_of(spark, path, block_bytes, np.dtype(dtype).itemsize), path, separator, dtype))
-    return names.join(found, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    # both sides grow with the corpus: one plan at every size, no broadcast
+    return names.join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
