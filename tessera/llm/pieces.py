@@ -24,7 +24,9 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and pretokens, of one memo generation; there are two at most.
-MEMO, PRETOKENS = 300_000, 150_000
+MEMO, PRETOKENS = 500_000, 250_000
+#: Mean characters of a generation's pieces, beyond which it ends earlier; characters of a pretoken that is remembered.
+MEAN, LONGEST = 16, 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the split pattern of byte-level BPE files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,12 +53,13 @@ class PieceEncoder:
         self.memo = memo
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0  # of the young generation's pieces
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Afterwards the young generation holds all of ``pieces``, none of which touches white space."""
-        missing = pieces.difference(self.young)
-        if len(self.young) + len(missing) > self.memo:
-            self.old, self.young, missing = self.young, {}, pieces
+    def _learn(self, pieces: set[str], missing: set[str]) -> None:
+        """Afterwards the young generation holds all of ``pieces``, none of which touches white space; ``missing`` are those it lacks."""
+        if len(self.young) + len(missing) > self.memo or self.chars > MEAN * self.memo:
+            self.old, self.young, missing, self.chars = self.young, {}, pieces, 0
+        self.chars += sum(map(len, missing))
         young, old = self.young, self.old
         new = list(missing.difference(old))
         if len(new) < len(missing):
@@ -72,12 +75,13 @@ class PieceEncoder:
         if "" in new or first[-1:].isspace() or any([p[0].isspace() or p[-1].isspace() for p in new]):
             first, *rest = _CUT.split(text)
             distinct = set(rest)
-            beside = {p for p in distinct.difference(self.young) if not p or p[0].isspace() or p[-1].isspace()}
-            self._learn(distinct - beside)
+            new = distinct.difference(self.young)
+            beside = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+            self._learn(distinct - beside, new - beside)
             ids = [self.young[p] if p not in beside else self.encode_pieces([" " + p])[0] for p in rest]
         else:
             if new:
-                self._learn(distinct)
+                self._learn(distinct, new)
             ids = map(self.young.__getitem__, rest)
         return (self.encode_pieces([first])[0] if first else b"") + b"".join(ids)
 
@@ -138,7 +142,8 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
             else:
                 chars = pretoken.encode().decode("latin-1").translate(to_char)
             ids = array("I", [t.id for t in model(chars)]).tobytes()
-        known[pretoken] = ids
+        if len(pretoken) <= LONGEST:
+            known[pretoken] = ids
         return ids
 
     def split(words: list[str]) -> list[bytes]:

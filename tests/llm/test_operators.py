@@ -52,6 +52,9 @@ def test_piece_encoder_forgets_by_generation():
     text = "a b c d e a b c d e f g a  x b"
     assert encoder.encode(text).decode() == text
     assert len(encoder.young) <= 15
+    for c in "abcdefgh":  # few pieces, but long ones
+        assert encoder.encode(f"x {c * 100}").decode() == f"x {c * 100}"
+    assert len(encoder.young) + len(encoder.old) <= 4
 
 
 # ---- op 1 ----
