@@ -3,7 +3,8 @@
 Categories are predicted in order.  Each one's logistic model sees the presence of
 chosen words and the probabilities of the categories before it; for training these
 come from models that haven't seen the row (out of fold), so later models learn
-how far earlier ones can be trusted.  Words are chosen for each category by a chi-squared test.
+how far earlier ones can be trusted.  Words are chosen for each category by a chi-squared test,
+and for a model out of fold from the rows that it is fitted on.
 
 Models are fitted on a bounded sample of labelled rows: the ``SAMPLE`` labelled
 doc_ids that come first by hash.  Everything is scored.
@@ -17,6 +18,7 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -91,21 +93,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarr
     return w
 
 
-def fit_chain(present: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: list[str], words: list[str]) -> Chain:
-    """present: rows by words, 0 or 1; labels: rows by categories; fold: each row's fold."""
-    n, one = len(words), np.ones((len(present), 1))
+def fit_chain(present: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: list[str], words: list[str], columns: list[np.ndarray] | None = None) -> Chain:
+    """present: rows by words, 0 or 1; labels: rows by categories; fold: each row's fold.
+
+    columns: the words that each fold's models see, then those of the chain itself; all words where it is None.
+    """
+    columns = columns or [np.arange(len(words))] * (FOLDS + 1)
+    own_words = columns[-1]
+    n, one = len(own_words), np.ones((len(present), 1))
     weights = np.zeros((len(categories), n + len(categories) + 1))
     earlier = np.zeros((len(present), 0))
     for c in range(len(categories)):
-        x, y = np.concatenate([present, earlier, one], 1), labels[:, c]
-        own = fit_logistic(x, y)
+        seen, y = lambda at: np.concatenate([present[:, at], earlier, one], 1), labels[:, c]  # noqa: B023, E731
+        own = fit_logistic(seen(own_words), y)
         weights[c, : n + c], weights[c, -1] = own[:-1], own[-1]
-        unseen = np.zeros(len(x))
+        unseen = np.zeros(len(present))
         for k in range(FOLDS):
-            out = fold == k
+            out, x = fold == k, seen(columns[k])
             unseen[out] = sigmoid(x[out] @ fit_logistic(x[~out], y[~out]))
         earlier = np.concatenate([earlier, unseen[:, None]], 1)
-    return Chain(categories, words, weights)
+    return Chain(categories, [words[i] for i in own_words], weights)
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int) -> DataFrame:
@@ -128,7 +135,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
 def choose_words(sample: DataFrame, categories: list[str], words: int) -> list[str]:
     """For each category the words with the largest chi-squared value, together."""
     totals = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
-    n, chosen = totals["n"], set()
+    n, best = totals["n"], []
     counts = sample.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count("*").cast("double").alias("rows"), *(F.sum(c).cast("double").alias(c) for c in categories))
     for c in categories:
         positive = float(totals[c] or 0)
@@ -137,24 +144,30 @@ def choose_words(sample: DataFrame, categories: list[str], words: int) -> list[s
         a, b = F.col(c), F.col("rows") - F.col(c)
         off, rest = positive - a, (n - positive) - b
         score = (a * rest - b * off) ** 2 / (F.col("rows") * (n - F.col("rows") + 0.5))
-        chosen |= {r["word"] for r in counts.where(F.col("rows") >= LEAST_ROWS).select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(words).collect()}
-    return sorted(chosen)
+        best.append(counts.where(F.col("rows") >= LEAST_ROWS).select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(words).select("word"))
+    return sorted({r["word"] for r in functools.reduce(DataFrame.unionByName, best).collect()}) if best else []
+
+
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, words: int = WORDS) -> Chain:
     """Fit the chain; the driver gets ``sample`` rows of chosen word numbers, and no text."""
     rows, names = labelled_words(docs, labels, categories, sample), list(categories)
-    vocabulary = choose_words(rows, names, words)
+    fold = fold_of(F.col("doc_id"))
+    chosen = [*(choose_words(rows.where(fold != k), names, words) for k in range(FOLDS)), choose_words(rows, names, words)]
+    vocabulary = sorted(set().union(*chosen))
     place = {w: i for i, w in enumerate(vocabulary)}
     known = F.array_intersect("words", F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"))
-    got = rows.select("doc_id", known.alias("words"), *names).orderBy("doc_id").collect()
+    got = rows.select("doc_id", known.alias("words"), fold.alias("of_fold"), *names).orderBy("doc_id").collect()
     common.discard(rows)
     present = np.zeros((len(got), len(vocabulary)))
     for i, r in enumerate(got):
         present[i, [place[w] for w in r["words"]]] = 1
     y = np.array([[r[c] for c in names] for r in got], float).reshape(len(got), len(names))
-    fold = np.array([(r["doc_id"] * 2654435761 >> 7) % FOLDS for r in got], int)
-    return fit_chain(present, y, fold, names, vocabulary)
+    columns = [np.array([place[w] for w in c], int) for c in chosen]
+    return fit_chain(present, y, np.array([r["of_fold"] for r in got], int), names, vocabulary, columns)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

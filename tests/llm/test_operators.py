@@ -224,6 +224,22 @@ def test_chain_learns_and_leaves_clean_alone(spark):
     assert 1000 in {r["doc_id"] for r in kept.collect()}
 
 
+def test_folds_do_not_choose_words_for_themselves():
+    """A word that only fold 0 shows to be telling isn't seen by fold 0's model; the chain equals a plain loop."""
+    rng = np.random.default_rng(5)
+    present, fold = rng.integers(0, 2, (80, 3)).astype(float), np.arange(80) % toxicity.FOLDS
+    labels = np.stack([present[:, 0], np.maximum(present[:, 0], present[:, 1])], 1)
+    columns = [np.array([1, 2])] + [np.array([0, 1])] * (toxicity.FOLDS - 1) + [np.array([0, 1])]
+    chain = toxicity.fit_chain(present, labels, fold, ["a", "b"], ["x", "y", "z"], columns)
+    assert chain.words == ["x", "y"]
+    one, unseen = np.ones(80), np.zeros(80)
+    for k in range(toxicity.FOLDS):
+        x = np.column_stack([*(present[:, i] for i in columns[k]), one])
+        unseen[fold == k] = toxicity.sigmoid(x @ toxicity.fit_logistic(x[fold != k], labels[fold != k, 0]))[fold == k]
+    own = toxicity.fit_logistic(np.column_stack([present[:, 0], present[:, 1], unseen, one]), labels[:, 1])
+    assert np.allclose(chain.weights[1, [0, 1, 2, 4]], own)
+
+
 def test_chain_without_labels(spark):
     docs = frame(spark, DIRTY)
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"), {"toxic": F.col("toxic") == 1})
