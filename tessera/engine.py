@@ -41,11 +41,16 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 def selected(points: DataFrame, query: RegionQuery) -> DataFrame:
-    """lon, lat, w of the points that pass the query's filters."""
+    """lon, lat, w of the points that pass the query's filters; w is a keyword where distinct ones are counted."""
     rows = filters.in_box(filters.located(points), query.bbox)
-    rows = filters.with_keywords(rows, query.keywords_column, query.keywords)
+    if query.score != "distinct_keywords":
+        rows = filters.with_keywords(rows, query.keywords_column, query.keywords)
+        rows = filters.with_keywords(rows, query.keywords_column2, query.keywords2)
+        return filters.weighted(rows, None if query.score == "count" else query.f)
+    if not absent(query.keywords):  # without any, the column only names what is counted
+        rows = filters.with_keywords(rows, query.keywords_column, query.keywords)
     rows = filters.with_keywords(rows, query.keywords_column2, query.keywords2)
-    return filters.weighted(rows, query.f)
+    return filters.keyword_places(rows, query.keywords_column)
 
 
 def candidates_for(weights: DataFrame, query: RegionQuery, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
@@ -54,18 +59,19 @@ def candidates_for(weights: DataFrame, query: RegionQuery, written: Callable[[Da
     The threshold comes from cell sums first, then, larger as a rule, from the best windows of the heaviest cells:
     centres in cells of equal parity are as far apart as those cells.
     """
-    facts = weights.agg(F.min("w").alias("least")).first()
+    distinct = query.score == "distinct_keywords"
+    facts = weights.agg((F.min(F.lit(0.0)) if distinct else F.min("w")).alias("least")).first()
     if facts["least"] is None:
         return weights.sparkSession.createDataFrame([], "score double, lon double, lat double")
     theta = 0.0
     if facts["least"] >= 0:
-        cells = written(bounds.cell_sums(weights, query.eps))
+        cells = written(bounds.cell_sums(weights, query.eps, distinct))
         theta = bounds.threshold(cells, query.topk, query.dist).first()["theta"]
-        best = bounds.best_of_cells(windows.candidates(weights, query.eps, theta, heaviest=HEAVIEST * query.topk), query.eps)
+        best = bounds.best_of_cells(windows.candidates(weights, query.eps, theta, heaviest=HEAVIEST * query.topk, distinct=distinct), query.eps)
         theta = max(theta, bounds.threshold(written(best.withColumnRenamed("top", "s")), query.topk, query.dist).first()["theta"])
     else:
         theta = float("-inf")
-    return windows.candidates(weights, query.eps, theta)
+    return windows.candidates(weights, query.eps, theta, distinct=distinct)
 
 
 def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:
@@ -75,8 +81,8 @@ def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:
     keep = lambda rows: written(rows, folder)
     weights = selected(points, query)
     if name == "uniform":
-        return scoring.uniform_grid(weights, query.eps, query.topk)
-    weights = keep(filters.merged(weights))
+        return scoring.uniform_grid(weights, query.eps, query.topk, query.score)
+    weights = keep(weights if query.score == "distinct_keywords" else filters.merged(weights))
     found = candidates_for(weights, query, keep)
     if not query.dist:
         best = found.orderBy(F.desc("score"), "lon", "lat").limit(query.topk)

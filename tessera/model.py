@@ -14,6 +14,8 @@ RESULT = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("lo
 
 #: Numbers and names of the strategies; several numbers are one plan here, since all are exact but the two last.
 STRATEGIES = {0: "multi_round", 1: "single_round", 2: "hybrid", 3: "single_round", 4: "hybrid", 5: "single_round", 6: "hybrid", 7: "hybrid", 8: "approximate", 9: "uniform"}
+#: What a region's score is: the weights' sum, the number of points, or the number of distinct keywords.
+SCORES = ("sum", "count", "distinct_keywords")
 ALIASES = {"unif": "uniform", "single": "single_round", "multi": "multi_round", "app": "approximate"}
 
 
@@ -52,6 +54,7 @@ class RegionQuery:
     kprime: int = 5
     sigma: float = 0.9
     bbox: tuple[float, float, float, float] | None = None
+    score: str = "sum"
 
     def __post_init__(self):
         for name in ("topk", "eps", "partitions", "base", "kprime"):
@@ -60,6 +63,10 @@ class RegionQuery:
         if not 0 < self.sigma <= 1:
             raise InvalidQuery("sigma must be over 0 and at most 1")
         strategy_name(self.algo)
+        if self.score not in SCORES:
+            raise InvalidQuery(f"unknown score {self.score!r}")
+        if self.score == "distinct_keywords" and absent(self.keywords_column):
+            raise InvalidQuery("distinct_keywords needs a keywords column")
 
     def key(self) -> tuple:
         """What makes two queries the same; dist and strategy are part of it."""

@@ -1,6 +1,7 @@
 """Bounds that let most cells be dropped before any window is formed.
 
-Weights are not negative.  Cells have side eps and a common origin.
+Weights are not negative.  Cells have side eps and a common origin.  A cell's number of distinct
+keywords may take the place of its sum: no block has more of them than its cells together.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from tessera.operators.grid import hash_cells
 
 
-def cell_sums(weights: DataFrame, eps: float) -> DataFrame:
-    """i, j, s, n: weight and rows of each cell with points."""
-    return hash_cells(weights, eps).groupBy("i", "j").agg(F.sum("w").alias("s"), F.count("*").alias("n"))
+def cell_sums(weights: DataFrame, eps: float, distinct: bool = False) -> DataFrame:
+    """i, j, s, n: weight, or number of distinct values of w, and rows of each cell with points."""
+    score = F.count_distinct("w").cast("double") if distinct else F.sum("w")
+    return hash_cells(weights, eps).groupBy("i", "j").agg(score.alias("s"), F.count("*").alias("n"))
 
 
 def upper_bounds(cells: DataFrame) -> DataFrame:

@@ -42,6 +42,12 @@ def weighted(points: DataFrame, f: str | None = None) -> DataFrame:
     return points.where(F.col(f).isNotNull()).select("lon", "lat", F.col(f).cast("double").alias("w"))
 
 
+def keyword_places(points: DataFrame, column: str, separator: str = ";") -> DataFrame:
+    """lon, lat, w: each place's distinct keywords, one row for each; empty ones and null are none."""
+    words = F.explode(F.split(F.col(column), re.escape(separator)))
+    return points.select("lon", "lat", words.alias("w")).where(F.col("w") != "").distinct()
+
+
 def merged(weights: DataFrame) -> DataFrame:
     """One row for each place, with its whole weight: no loss, and hot places shrink before any exchange."""
     return weights.groupBy("lon", "lat").agg(F.sum("w").alias("w"))

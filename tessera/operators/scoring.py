@@ -11,7 +11,7 @@ from tessera.operators import bounds
 
 Score = Callable[[Column], Column]
 #: Named aggregates over a point set's weights; any function of a column to an aggregate may take their place.
-SCORES: dict[str, Score] = {"sum": F.sum, "count": lambda w: F.count(w).cast("double"), "max": F.max}
+SCORES: dict[str, Score] = {"sum": F.sum, "count": lambda w: F.count(w).cast("double"), "max": F.max, "distinct_keywords": lambda w: F.count_distinct(w).cast("double")}
 
 
 def uniform_grid(weights: DataFrame, eps: float, k: int, score: str | Score = "sum") -> DataFrame:

@@ -7,7 +7,7 @@ left and below, so each cell's windows can be formed from that block alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, product
 
 import numpy as np
@@ -58,13 +58,44 @@ def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.nda
     return s[keep], lon[keep], lat[keep]
 
 
-def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int | None = None) -> DataFrame:
+def distinct_kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, theta: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``kernel``, where a score is the number of distinct values of w.
+
+    For one tx, a row counts while ty is at or over its y, until eps more or its keyword's next row: such ranges of
+    one keyword don't overlap, so scores are a running sum over the sorted ty.
+    """
+    tx = np.unique(np.concatenate([x[i == at[0]], x[i == at[0] - 1] + eps]))[part::parts]
+    ty = np.unique(np.concatenate([y[j == at[1]], y[j == at[1] - 1] + eps]))
+    found: list[tuple[np.ndarray, ...]] = []
+    code = np.unique(w, return_inverse=True)[1]
+    order = np.lexsort((y, code))
+    x, y, code = x[order], y[order], code[order]
+    for t in tx if len(ty) else []:
+        own = (x <= t) & (x + eps > t)
+        px, py, k = x[own], y[own], code[own]
+        end = py + eps
+        same = np.flatnonzero(k[1:] == k[:-1])
+        end[same] = np.minimum(end[same], py[same + 1])
+        steps = [np.bincount(np.searchsorted(ty, v), minlength=len(ty) + 1) for v in (py, end)]
+        score = np.cumsum(steps[0] - steps[1])[: len(ty)].astype(float)
+        fits = np.flatnonzero(score >= max(theta, 1.0))
+        for a in range(0, len(fits), max(1, STEP // max(1, len(py)))):
+            r = fits[a : a + max(1, STEP // len(py))]
+            inside = (py[None, :] <= ty[r, None]) & (py[None, :] + eps > ty[r, None])
+            middle = lambda v: (np.where(inside, v[None, :], np.inf).min(1) + np.where(inside, v[None, :], -np.inf).max(1)) / 2  # noqa: B023, E731
+            found.append((score[r], middle(px), middle(py)))
+    if not found:
+        return (np.zeros(0),) * 3
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int | None = None, distinct: bool = False) -> DataFrame:
     """score, lon, lat of every window of at least theta, one row for each centre (its best score).
 
-    ``heaviest``: only windows of so many cells, those with the largest bounds.
+    ``heaviest``: only windows of so many cells, those with the largest bounds; ``distinct``: a score is the number of distinct values of w.
     """
-    eps = float(eps)
-    cells = bounds.upper_bounds(bounds.cell_sums(weights, eps)).where(F.col("ub") >= theta)
+    eps, form = float(eps), distinct_kernel if distinct else kernel
+    cells = bounds.upper_bounds(bounds.cell_sums(weights, eps, distinct)).where(F.col("ub") >= theta)
     if heaviest is not None:
         cells = cells.orderBy(F.desc("ub"), "i", "j").limit(heaviest)
     cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int").alias("parts"))
@@ -88,7 +119,7 @@ def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int
             edges = np.flatnonzero((ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1]) | (part[1:] != part[:-1])) + 1
             starts = np.concatenate([[0], edges])
             ends = np.append(edges, len(ci)) if frame is None else edges
-            found = [best_of_block({n: c[a:b] for n, c in rest.items()}, eps, theta) for a, b in zip(starts, ends, strict=False)]
+            found = [best_of_block({n: c[a:b] for n, c in rest.items()}, eps, theta, form) for a, b in zip(starts, ends, strict=False)]
             rest = {n: c[starts[-1] :] for n, c in rest.items()}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["score", "lon", "lat"])
@@ -97,10 +128,10 @@ def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int
     return found.groupBy("lon", "lat").agg(F.max("score").alias("score")).select("score", "lon", "lat")
 
 
-def best_of_block(rows: dict[str, np.ndarray], eps: float, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(rows: dict[str, np.ndarray], eps: float, theta: float, form: Callable = kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's windows, one for each centre."""
     at = (int(rows["ci"][0]), int(rows["cj"][0]))
-    s, lon, lat = kernel(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, theta, int(rows["part"][0]), int(rows["parts"][0]))
+    s, lon, lat = form(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, theta, int(rows["part"][0]), int(rows["parts"][0]))
     order = np.lexsort((-s, lat, lon))
     s, lon, lat = s[order], lon[order], lat[order]
     first = np.ones(len(s), bool)

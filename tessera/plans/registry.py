@@ -235,19 +235,19 @@ def streaming_cell_sums(spark, sf_dir):
 # ---- windows and regions ----
 
 
-def _candidates(view: str, eps: float, score: str = "score", where: str = "true") -> str:
+def _candidates(view: str, eps: float, score: str = "score", where: str = "true", total: str = "sum(w)") -> str:
     e = D(eps)
     return f"""{view}, q AS (SELECT lon, lat, {score} AS w FROM p WHERE {where}),
 tx AS (SELECT DISTINCT lon AS t FROM q UNION SELECT DISTINCT lon + {e} FROM q),
 ty AS (SELECT DISTINCT lat AS t FROM q UNION SELECT DISTINCT lat + {e} FROM q),
-cand0 AS (SELECT tx.t AS x, ty.t AS y, sum(w) AS s, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1
+cand0 AS (SELECT tx.t AS x, ty.t AS y, {total} AS s, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1
   FROM q JOIN tx ON tx.t >= lon AND tx.t < lon + {e} JOIN ty ON ty.t >= lat AND ty.t < lat + {e} GROUP BY 1, 2),
 cand AS (SELECT max(s) AS s, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM cand0 GROUP BY 2, 3)"""
 
 
-def _greedy(view: str, eps: float, k: int, score: str = "score", where: str = "true", tail: str = "SELECT CAST(step AS INTEGER) AS rank, cx AS lon, cy AS lat, s AS score FROM g") -> str:
+def _greedy(view: str, eps: float, k: int, score: str = "score", where: str = "true", tail: str = "SELECT CAST(step AS INTEGER) AS rank, cx AS lon, cy AS lat, s AS score FROM g", total: str = "sum(w)") -> str:
     e = D(eps)
-    return f"""WITH RECURSIVE {_candidates(view, eps, score, where)},
+    return f"""WITH RECURSIVE {_candidates(view, eps, score, where, total)},
 g AS (SELECT * FROM (SELECT 1 AS step, s, cx, cy, [{{'cx': cx, 'cy': cy}}] AS picked FROM cand ORDER BY s DESC, cx, cy LIMIT 1)
   UNION ALL
   SELECT * FROM (SELECT g.step + 1, b.s, b.cx, b.cy, list_append(g.picked, {{'cx': b.cx, 'cy': b.cy}})
@@ -292,6 +292,12 @@ def top_regions_filtered(spark, sf_dir):
     return _regions(spark, sf_dir, keywords_column="keywords", keywords=KEYWORDS_ONE)
 
 
+@query(_greedy(EMB, EMB_EPS, 10, "unnest(string_split(keywords, ';'))", total="CAST(count(DISTINCT w) AS DOUBLE)"))
+def top_regions_distinct_keywords(spark, sf_dir):
+    """Regions with the most distinct keywords."""
+    return _regions(spark, sf_dir, score="distinct_keywords", keywords_column="keywords")
+
+
 @query(_greedy(EMB, EMB_EPS, 1))
 def best_region(spark, sf_dir):
     return engine.best_region(poi.embedding_points(spark, sf_dir), EMB_EPS, "score")

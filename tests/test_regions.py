@@ -17,7 +17,7 @@ def table(spark, points):
     return spark.createDataFrame([(i, float(x), float(y), k, float(s)) for i, (x, y, k, s) in enumerate(points)], "id bigint, lon double, lat double, keywords string, score double")
 
 
-def brute_windows(points, eps):
+def brute_windows(points, eps, score=lambda own: sum(p[2] for p in own)):
     """score by centre of every window."""
     xs = sorted({p[0] for p in points} | {p[0] + eps for p in points})
     ys = sorted({p[1] for p in points} | {p[1] + eps for p in points})
@@ -27,16 +27,22 @@ def brute_windows(points, eps):
         if own:
             x, y = [p[0] for p in own], [p[1] for p in own]
             centre = ((min(x) + max(x)) / 2, (min(y) + max(y)) / 2)
-            found[centre] = max(found.get(centre, float("-inf")), sum(p[2] for p in own))
+            found[centre] = max(found.get(centre, float("-inf")), score(own))
     return found
 
 
 def brute_top(points, eps, k, dist=True):
-    order = sorted(((s, *c) for c, s in brute_windows(points, eps).items()), key=lambda r: (-r[0], r[1], r[2]))
-    if not dist:
-        return order[:k]
+    found = brute_windows(points, eps)
+    return brute_greedy(found, eps, k) if dist else in_order(found)[:k]
+
+
+def in_order(found):
+    return sorted(((s, *c) for c, s in found.items()), key=lambda r: (-r[0], r[1], r[2]))
+
+
+def brute_greedy(found, eps, k):
     chosen = []
-    for r in order:
+    for r in in_order(found):
         if len(chosen) < k and all(abs(r[1] - c[1]) > eps or abs(r[2] - c[2]) > eps for c in chosen):
             chosen.append(r)
     return chosen
@@ -72,6 +78,32 @@ def test_overlapping_and_windows_equal_brute_force(spark):
     assert {(r["lon"], r["lat"]): r["score"] for r in every.collect()} == brute_windows(plain(points), 0.5)
 
 
+@pytest.mark.parametrize("algo,split", [("single_round", 512), ("hybrid", 4)])
+def test_distinct_keywords_equal_brute_force(spark, monkeypatch, algo, split):
+    monkeypatch.setattr(windows, "SPLIT", split)
+    monkeypatch.setattr(windows, "STEP", 40)
+    rng = random.Random(9)
+    points = [(x, y, ";".join(rng.sample("abcdefg", rng.randrange(1, 4))), s) for x, y, _, s in lattice(9, n=70, side=20)]
+    kept = table(spark, [*points, (0.0, 0.0, "", 1), (0.0, 0.0, None, 1)])
+    query = RegionQuery(topk=4, eps=0.5, algo=algo, score="distinct_keywords", keywords_column="keywords")
+    sets = lambda own: float(len({k for p in own for k in p[2].split(";")}))
+    order = brute_windows([p[:3] for p in points], 0.5, sets)
+    want = brute_greedy(order, 0.5, 4)
+    assert rows_of(engine.top_regions(kept, query)) == want
+    assert engine.top_regions(kept.where("false"), query).count() == 0
+
+
+def test_score_names(spark):
+    points = lattice(3)
+    count = RegionQuery(topk=3, eps=0.5, f="score", score="count")
+    assert rows_of(engine.top_regions(table(spark, points), count)) == brute_top([(x, y, 1.0) for x, y, _, _ in points], 0.5, 3)
+    for given in ({"score": "median"}, {"score": "distinct_keywords"}):
+        with pytest.raises(model.InvalidQuery):
+            RegionQuery(topk=1, eps=1, **given)
+    asked = RegionQuery.from_parameters({"topk": "1", "eps": "1", "score": "distinct_keywords", "keywordsColumn": "keywords"})
+    assert asked.score == "distinct_keywords"
+
+
 def test_dense_blocks_are_dealt_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(windows, "SPLIT", 5)
     monkeypatch.setattr(windows, "STEP", 40)
