@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.model import RegionQuery, absent
-from tessera.operators import bounds, filters, scoring, selection, windows
-
-#: Cells, for each region asked for, whose windows are formed first to raise the threshold.
-HEAVIEST = 16
+from tessera.operators import bounds, filters, scoring, selection
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,25 +50,16 @@ def selected(points: DataFrame, query: RegionQuery) -> DataFrame:
     return filters.keyword_places(rows, query.keywords_column)
 
 
-def candidates_for(weights: DataFrame, query: RegionQuery, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """Windows that may be among the results: those that reach the threshold, where no weight is negative.
-
-    The threshold comes from cell sums first, then, larger as a rule, from the best windows of the heaviest cells:
-    centres in cells of equal parity are as far apart as those cells.
-    """
+def blocks_for(weights: DataFrame, query: RegionQuery, n: int, written: Callable[[DataFrame], DataFrame] = written) -> selection.Blocks | None:
+    """Blocks with the windows that may be among the results: those that reach the threshold, where no weight is negative. None without points."""
     distinct = query.score == "distinct_keywords"
     facts = weights.agg((F.min(F.lit(0.0)) if distinct else F.min("w")).alias("least")).first()
     if facts["least"] is None:
-        return weights.sparkSession.createDataFrame([], "score double, lon double, lat double")
-    theta = 0.0
+        return None
+    theta = float("-inf")
     if facts["least"] >= 0:
-        cells = written(bounds.cell_sums(weights, query.eps, distinct))
-        theta = bounds.threshold(cells, query.topk, query.dist).first()["theta"]
-        best = bounds.best_of_cells(windows.candidates(weights, query.eps, theta, heaviest=HEAVIEST * query.topk, distinct=distinct), query.eps)
-        theta = max(theta, bounds.threshold(written(best.withColumnRenamed("top", "s")), query.topk, query.dist).first()["theta"])
-    else:
-        theta = float("-inf")
-    return windows.candidates(weights, query.eps, theta, distinct=distinct)
+        theta = bounds.threshold(written(bounds.cell_sums(weights, query.eps, distinct)), query.topk, query.dist).first()["theta"]
+    return selection.Blocks(weights, query.eps, theta, query.topk if query.dist else 1, n, distinct, written)
 
 
 def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:
@@ -83,14 +71,14 @@ def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:
     if name == "uniform":
         return scoring.uniform_grid(weights, query.eps, query.topk, query.score)
     weights = keep(weights if query.score == "distinct_keywords" else filters.merged(weights))
-    found = candidates_for(weights, query, keep)
-    if not query.dist:
-        best = found.orderBy(F.desc("score"), "lon", "lat").limit(query.topk)
-        best = written(bounds.rank_all(best).select("rank", "lon", "lat", "score"))
-        delete(spark, folder)
-        return best
-    found, k, eps = keep(found), query.topk, query.eps
-    if name == "hybrid":
+    k, eps = query.topk, query.eps
+    ahead = k if not query.dist or name == "approximate" else query.kprime if name == "multi_round" else 1
+    found = blocks_for(weights, query, min(k, ahead), keep)
+    if found is None:
+        rows = []
+    elif not query.dist:
+        rows = found.free([], k)
+    elif name == "hybrid":
         rows = selection.hybrid(found, k, eps, keep)
     elif name == "multi_round":
         rows = selection.multi_round(found, k, eps, query.kprime)

@@ -6,11 +6,13 @@ score descending, then lon, then lat, everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import bounds, windows
+
 Region = tuple[float, float, float]  # score, lon, lat
 
 
@@ -69,8 +71,99 @@ def prefixes(candidates: DataFrame, k: int, factor: int = 16) -> Iterator[list[R
         n *= 8
 
 
-def single_round(candidates: DataFrame, k: int, eps: float) -> list[Region]:
+class Blocks:
+    """The best windows of each block of cells, in place of a table of all windows.
+
+    Windows with their upper right corner in one cell are a block.  A square touches those of 4 by 4 blocks at most,
+    and a centre is listed in 2 by 2 at most, so k regions, each among the n best free ones when it is picked,
+    come from the 16 (k - 1) + 4 n blocks with the best windows: no others are held here.  A block whose listed
+    windows don't tell the next best is asked again, for windows that conflict with no answer.
+    """
+
+    def __init__(self, weights: DataFrame, eps: float, theta: float, k: int, n: int, distinct: bool, checkpoint: Callable[[DataFrame], DataFrame]):
+        self.weights, self.eps, self.theta, self.distinct, self.checkpoint = weights, float(eps), theta, distinct, checkpoint
+        held = 16 * (k - 1) + 4 * n
+        n = min(n, 16)
+        found = checkpoint(windows.best_of_blocks(weights, eps, theta, n, distinct=distinct))
+        first = found.where("r = 1").orderBy(F.desc("score"), "lon", "lat", "ci", "cj").limit(held).select("ci", "cj")
+        self.asked: dict[tuple[int, int], int] = {}
+        self.rows: dict[tuple[int, int], list[Region]] = {}
+        self._hold(found.join(F.broadcast(first), ["ci", "cj"]), n)
+        self.complete = len(self.rows) < held
+        #: What is worse than this may have better ones in blocks that are not held.
+        self.bar = None if self.complete else max(self.order(rows[0]) for rows in self.rows.values())
+        self.sizes: dict[tuple[int, int], int] | None = None
+
+    @staticmethod
+    def order(r: Region) -> tuple[float, float, float]:
+        return (-r[0], r[1], r[2])
+
+    def _hold(self, found: DataFrame, n: int) -> None:
+        for r in found.select("ci", "cj", "score", "lon", "lat").collect():
+            self.rows.setdefault((r["ci"], r["cj"]), []).append((r["score"], r["lon"], r["lat"]))
+        for at, rows in self.rows.items():
+            if at not in self.asked:
+                self.asked[at] = n
+                rows.sort(key=self.order)
+
+    def ask(self, cells: list[tuple[int, int]], answers: list[Region], n: int) -> None:
+        """The n best windows of these blocks that conflict with no answer."""
+        spark = self.weights.sparkSession
+        if self.sizes is None:
+            held = spark.createDataFrame(list(self.rows), "i bigint, j bigint")
+            sums = bounds.upper_bounds(bounds.cell_sums(self.weights, self.eps, self.distinct)).join(F.broadcast(held), ["i", "j"])
+            self.sizes = {(r["i"], r["j"]): r["m"] for r in sums.collect()}
+        for at in cells:
+            self.rows[at] = []
+            del self.asked[at]
+        only = [(*at, -(-self.sizes[at] // windows.FEW_SPLIT)) for at in cells]
+        self._hold(windows.best_of_blocks(self.weights, self.eps, self.theta, n, answers, self.distinct, spark.createDataFrame(only, "ci bigint, cj bigint, parts int")), n)
+
+    def free(self, answers: list[Region], n: int) -> list[Region]:
+        """The n best windows that conflict with no answer."""
+        chosen = Chosen(self.eps)
+        for r in answers:
+            chosen.add(r)
+        while True:
+            open_ = {at: [r for r in rows if chosen.free(r)] for at, rows in self.rows.items()}
+            best: dict[tuple[float, float], Region] = {}
+            for rows in open_.values():
+                for r in rows:
+                    if r[1:] not in best or best[r[1:]][0] < r[0]:
+                        best[r[1:]] = r
+            found = sorted(best.values(), key=self.order)[:n]
+            end = self.order(found[-1]) if len(found) == n else None
+            stale = [at for at, rows in self.rows.items() if len(rows) == self.asked[at] and (len(open_[at]) < len(rows) or len(rows) < n) and (end is None or self.order(rows[-1]) < end)]
+            if not stale:
+                return found
+            self.ask(stale, answers, n)
+
+    def rounds(self, k: int) -> list[Region]:
+        """Greedy's k picks by elimination: each round picks every window that is the best of all blocks it may touch."""
+        picked = Chosen(self.eps)
+        while True:
+            lost = [at for at, rows in self.rows.items() if len(rows) == self.asked[at] and not any(map(picked.free, rows))]
+            if lost:
+                self.ask(lost, picked.rows, 1)
+            open_ = {at: best for at, rows in self.rows.items() if (best := next(filter(picked.free, rows), None)) is not None}
+            ordered = sorted(open_.items(), key=lambda e: self.order(e[1]))
+            done = sorted(picked.rows, key=self.order)[:k]
+            if not ordered or len(done) == k and self.order(done[-1]) < self.order(ordered[0][1]):
+                return done
+            before: set[tuple[int, int]] = set()
+            for (i, j), best in ordered:
+                if not any((i + di, j + dj) in before and open_[i + di, j + dj] != best for di in range(-3, 4) for dj in range(-3, 4)) and picked.free(best):
+                    picked.add(best)
+                before.add((i, j))
+
+
+def single_round(candidates: DataFrame | Blocks, k: int, eps: float) -> list[Region]:
     """Greedy over a prefix, longer if needed; a pick depends on better candidates only, so a prefix is enough."""
+    if isinstance(candidates, Blocks):
+        found: list[Region] = []
+        while len(found) < k and (best := candidates.free(found, 1)):
+            found += best
+        return found
     for rows in prefixes(candidates, k):
         found = greedy(rows, k, eps)
         if len(found) == k or len(rows) < 16 * k:
@@ -107,8 +200,10 @@ def decided(candidates: DataFrame, eps: float, checkpoint, k: int | None = None)
     return (picked if picked is not None else open_).select("score", "lon", "lat")
 
 
-def hybrid(candidates: DataFrame, k: int, eps: float, checkpoint) -> list[Region]:
-    """Distributed elimination on a prefix of the order, longer if needed."""
+def hybrid(candidates: DataFrame | Blocks, k: int, eps: float, checkpoint) -> list[Region]:
+    """Distributed elimination on a prefix of the order, longer if needed, or on blocks."""
+    if isinstance(candidates, Blocks):
+        return candidates.rounds(k)
     n = 64 * k
     while True:
         part = checkpoint(candidates.orderBy(F.desc("score"), "lon", "lat").limit(n))
@@ -118,7 +213,7 @@ def hybrid(candidates: DataFrame, k: int, eps: float, checkpoint) -> list[Region
         n *= 8
 
 
-def multi_round(candidates: DataFrame, k: int, eps: float, kprime: int = 5) -> list[Region]:
+def multi_round(candidates: DataFrame | Blocks, k: int, eps: float, kprime: int = 5) -> list[Region]:
     """Rounds: the best candidates that conflict with no answer so far; of these the prefix up to the first conflict is accepted."""
     chosen = Chosen(eps)
     while len(chosen.rows) < k:
@@ -132,8 +227,10 @@ def multi_round(candidates: DataFrame, k: int, eps: float, kprime: int = 5) -> l
     return chosen.rows
 
 
-def free_top(candidates: DataFrame, answers: list[Region], n: int, eps: float) -> list[Region]:
+def free_top(candidates: DataFrame | Blocks, answers: list[Region], n: int, eps: float) -> list[Region]:
     """The n best candidates that conflict with no answer; answers are a literal array of k rows at most."""
+    if isinstance(candidates, Blocks):
+        return candidates.free(answers, n)
     rows = candidates
     if answers:
         taken = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for _, x, y in answers))
@@ -141,7 +238,7 @@ def free_top(candidates: DataFrame, answers: list[Region], n: int, eps: float) -
     return [tuple(r) for r in rows.orderBy(F.desc("score"), "lon", "lat").limit(n).select("score", "lon", "lat").collect()]
 
 
-def approximate(candidates: DataFrame, k: int, eps: float, sigma: float) -> list[Region]:
+def approximate(candidates: DataFrame | Blocks, k: int, eps: float, sigma: float) -> list[Region]:
     """As multi_round, but a round goes on after its first conflict, at score c, while scores reach sigma * c.
 
     Falling below that takes back what the round accepted after the conflict, and ends it.

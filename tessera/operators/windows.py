@@ -8,135 +8,279 @@ left and below, so each cell's windows can be formed from that block alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain, product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import bounds
 from tessera.operators.grid import hash_cells
 
-#: Entries of one step's matrices; points of a block beyond which its work is dealt to several tasks.
-STEP, SPLIT = 1_000_000, 512
-WINDOWS = "score double, lon double, lat double"
+#: Windows handed on at once; points of a block beyond which its work is dealt to several tasks, and the same where few blocks are asked for.
+STEP, SPLIT, FEW_SPLIT = 1_000_000, 2048, 256
+WINDOWS, BLOCK_WINDOWS = "score double, lon double, lat double", "ci bigint, cj bigint, score double, lon double, lat double"
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, theta: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores and centres of a cell's windows of at least theta; part: which of its corners' columns are taken."""
-    tx = np.unique(np.concatenate([x[i == at[0]], x[i == at[0] - 1] + eps]))[part::parts]
-    ty = np.unique(np.concatenate([y[j == at[1]], y[j == at[1] - 1] + eps]))
-    if not len(tx) or not len(ty):
-        return (np.zeros(0),) * 3
-    found: list[tuple[np.ndarray, ...]] = []
-    width = max(1, STEP // len(x))  # corners of one step on either axis: no matrix has many more than STEP entries
-    over = lambda v, corners: (v[None, :] <= corners[:, None]) & (v[None, :] + eps > corners[:, None])
-    for a, e in product(range(0, len(tx), width), range(0, len(ty), width)):
-        if e == 0:
-            in_x = over(x, tx[a : a + width])
-            weight_x = in_x * w[None, :]
-        in_y = over(y, ty[e : e + width])
-        heavy = in_y.astype(float).T
-        scores = weight_x @ heavy
-        fits = scores >= theta - 1e-9 * abs(theta)
-        if theta <= 0:  # a window without points has no centre
-            fits &= in_x.astype(float) @ heavy > 0
-        c, r = np.nonzero(fits)
-        for b in range(0, len(c), max(1, STEP // len(x))):
-            cc, rr = c[b : b + max(1, STEP // len(x))], r[b : b + max(1, STEP // len(x))]
-            inside = in_x[cc] & in_y[rr]
-            low = lambda v: np.where(inside, v[None, :], np.inf).min(1)  # noqa: B023, E731
-            high = lambda v: np.where(inside, v[None, :], -np.inf).max(1)  # noqa: B023, E731
-            # summed in the points' order, so a window's score does not depend on its block
-            exact = np.where(inside, w[None, :], 0.0).sum(1)
-            found.append((exact, (low(x) + high(x)) / 2, (low(y) + high(y)) / 2))
-    if not found:
-        return (np.zeros(0),) * 3
-    s, lon, lat = (np.concatenate(f) for f in zip(*found, strict=True))
-    keep = s >= theta
-    return s[keep], lon[keep], lat[keep]
-
-
-def distinct_kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, theta: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``kernel``, where a score is the number of distinct values of w.
-
-    For one tx, a row counts while ty is at or over its y, until eps more or its keyword's next row: such ranges of
-    one keyword don't overlap, so scores are a running sum over the sorted ty.
-    """
-    tx = np.unique(np.concatenate([x[i == at[0]], x[i == at[0] - 1] + eps]))[part::parts]
-    ty = np.unique(np.concatenate([y[j == at[1]], y[j == at[1] - 1] + eps]))
-    found: list[tuple[np.ndarray, ...]] = []
-    code = np.unique(w, return_inverse=True)[1]
-    order = np.lexsort((y, code))
-    x, y, code = x[order], y[order], code[order]
-    for t in tx if len(ty) else []:
-        own = (x <= t) & (x + eps > t)
-        px, py, k = x[own], y[own], code[own]
-        end = py + eps
-        same = np.flatnonzero(k[1:] == k[:-1])
-        end[same] = np.minimum(end[same], py[same + 1])
-        steps = [np.bincount(np.searchsorted(ty, v), minlength=len(ty) + 1) for v in (py, end)]
-        score = np.cumsum(steps[0] - steps[1])[: len(ty)].astype(float)
-        fits = np.flatnonzero(score >= max(theta, 1.0))
-        for a in range(0, len(fits), max(1, STEP // max(1, len(py)))):
-            r = fits[a : a + max(1, STEP // len(py))]
-            inside = (py[None, :] <= ty[r, None]) & (py[None, :] + eps > ty[r, None])
-            middle = lambda v: (np.where(inside, v[None, :], np.inf).min(1) + np.where(inside, v[None, :], -np.inf).max(1)) / 2  # noqa: B023, E731
-            found.append((score[r], middle(px), middle(py)))
-    if not found:
-        return (np.zeros(0),) * 3
-    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+class Every:
+    """Takes all windows of at least theta."""
 
+    def __init__(self, theta: float):
+        self.cut, self.found, self.size = theta, [], 0
+
+    def add(self, s: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> None:
+        self.found.append((s, lon, lat))
+        self.size += len(s)
+
+    def taken(self) -> Arrays:
+        found, self.found, self.size = self.found, [], 0
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
+
+
+class Best:
+    """Takes the n best windows by score descending, lon, lat, one for each centre, that conflict with no answer."""
+
+    def __init__(self, theta: float, n: int, answers: np.ndarray, eps: float):
+        self.cut, self.n, self.answers, self.eps = theta, n, answers, eps
+        self.rows: Arrays = (np.zeros(0),) * 3
+        self.last: tuple[float, float, float] | None = None
+
+    def add(self, s: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> None:
+        keep = np.ones(len(s), bool)
+        if self.last is not None:
+            _, x, y = self.last
+            keep = (s > self.cut) | (lon < x) | (lon == x) & (lat < y)
+        for x, y in self.answers:
+            keep &= (np.abs(lon - x) > self.eps) | (np.abs(lat - y) > self.eps)
+        if not keep.any():
+            return
+        s, lon, lat = (np.concatenate([r, v[keep]]) for r, v in zip(self.rows, (s, lon, lat), strict=True))
+        order = np.lexsort((-s, lat, lon))
+        s, lon, lat = s[order], lon[order], lat[order]
+        first = np.append(True, (lon[1:] != lon[:-1]) | (lat[1:] != lat[:-1]))
+        s, lon, lat = s[first], lon[first], lat[first]
+        order = np.lexsort((lat, lon, -s))[: self.n]
+        self.rows = s[order], lon[order], lat[order]
+        if len(order) == self.n:
+            self.last = tuple(float(v[-1]) for v in self.rows)
+            self.cut = self.last[0]
+
+    def taken(self) -> Arrays:
+        return self.rows
+
+
+class CellTops:
+    """Takes the best score of each cell of centres; a block's centres are in its own four cells."""
+
+    def __init__(self, at: tuple[int, int], eps: float):
+        self.at, self.eps, self.cut, self.tops = at, eps, -np.inf, np.full(4, np.nan)
+
+    def add(self, s: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> None:
+        cell = 2 * (np.floor(lon / self.eps).astype(int) - self.at[0] + 1) + np.floor(lat / self.eps).astype(int) - self.at[1] + 1
+        for c in range(4):
+            if (cell == c).any():
+                self.tops[c] = np.fmax(self.tops[c], s[cell == c].max())
+        self.cut = -np.inf if np.isnan(self.tops).any() else float(self.tops.min())
+
+    def taken(self) -> Arrays:
+        have = np.flatnonzero(~np.isnan(self.tops))
+        return self.tops[have], self.at[0] - 1 + have // 2, self.at[1] - 1 + have % 2
+
+
+def exact_terms(w: np.ndarray) -> list[np.ndarray] | None:
+    """Terms whose sums are w and whose running sums have no rounding, so scores don't depend on any order; None where two are too few."""
+    terms, rest = [], w
+    for _ in range(2):
+        total = float(np.abs(rest).sum())
+        if total == 0.0 and terms:
+            return terms
+        if not np.isfinite(total) or 0.0 < total < 1e-200 or total > 1e200:
+            return None
+        unit = 2.0 ** (np.frexp(total)[1] - 51)
+        terms.append(np.round(rest / unit) * unit)
+        rest = rest - terms[-1]
+    return None if rest.any() else terms
+
+
+def middles(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Middles of the least and the largest of v[a:b] for each a < b, by tables over lengths that are powers of two."""
+    level = np.frexp((b - a).astype(float))[1] - 1
+    out, low, high = np.empty(len(a)), v, v
+    for n, count in enumerate(np.bincount(level)):
+        if count == len(a):
+            c = b - (1 << n)
+            return (np.minimum(low[a], low[c]) + np.maximum(high[a], high[c])) / 2
+        if count:
+            here = (level == n).nonzero()[0]
+            l, h = a[here], b[here] - (1 << n)
+            out[here] = (np.minimum(low[l], low[h]) + np.maximum(high[l], high[h])) / 2
+        if len(low) > 1 << n:
+            low, high = np.minimum(low[: -(1 << n)], low[1 << n :]), np.maximum(high[: -(1 << n)], high[1 << n :])
+    return out
 
-def candidates(weights: DataFrame, eps: float, theta: float = 0.0, heaviest: int | None = None, distinct: bool = False) -> DataFrame:
-    """score, lon, lat of every window of at least theta, one row for each centre (its best score).
 
-    ``heaviest``: only windows of so many cells, those with the largest bounds; ``distinct``: a score is the number of distinct values of w.
+def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, to: Every | Best | CellTops, part: int = 0, parts: int = 1, distinct: bool = False) -> Iterator[Arrays]:
+    """Hands a cell's windows of at least ``to.cut`` to ``to``, by a sweep over tx; part: which of its corners' columns are taken.
+
+    For one tx, points in order of y are a range for each ty: a score is a difference of running sums, and centres come
+    from the range's ends and its least and largest x.  Only such (tx, ty) are formed where a point comes or goes on
+    either axis: any other window holds the points of one of them, further left or down, in its cell or another.
+    Yields where ``to`` holds many, and leaves the rest there.
     """
-    eps, form = float(eps), distinct_kernel if distinct else kernel
-    cells = bounds.upper_bounds(bounds.cell_sums(weights, eps, distinct)).where(F.col("ub") >= theta)
-    if heaviest is not None:
-        cells = cells.orderBy(F.desc("ub"), "i", "j").limit(heaviest)
-    cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int").alias("parts"))
+    order = np.lexsort((x, y))
+    x, y, w, i, j = x[order], y[order], w[order], i[order], j[order]
+    x_end, y_end = x + eps, y + eps
+    event = np.where(i == at[0], x, np.where(i == at[0] - 1, x_end, np.nan))
+    tx = np.unique(event[~np.isnan(event)])[part::parts]
+    by_event = np.argsort(event, kind="stable")  # y stays in order for each of them
+    first, last = (np.searchsorted(event[by_event], tx, side) for side in ("left", "right"))
+    # ty with the point that comes or goes there, and the range of the block's points in reach
+    comes, goes = (j == at[1]).nonzero()[0], (j == at[1] - 1).nonzero()[0]
+    ty, source = np.concatenate([y[comes], y_end[goes]]), np.concatenate([comes, goes])
+    order = np.argsort(ty, kind="stable")
+    ty, source = ty[order], source[order]
+    lows, highs = np.searchsorted(y_end, ty, "right"), np.searchsorted(y, ty, "right")
+    from_, until = np.searchsorted(ty, y, "left"), np.searchsorted(ty, y_end, "left")
+    if distinct:
+        code = np.unique(w, return_inverse=True)[1]
+        by_code = np.lexsort((y, code))
+        code, code_from, code_until = code[by_code], from_[by_code], until[by_code]
+    else:
+        terms = exact_terms(w)
+        slack = 0.0 if terms is not None else 1e-9 * float(np.abs(w).sum())
+    sums, count = np.zeros(len(x) + 1), np.zeros(len(x) + 1, int)
+    for t, e0, e1 in zip(tx, first, last, strict=True):
+        own = (x <= t) & (x_end > t)
+        # only ty for which a point that comes or goes at t is in reach
+        gone = by_event[e0:e1]
+        l, h = from_[gone[0]], until[gone].max()
+        at_ty = own[source[l:h]].nonzero()[0] + l
+        if e1 - e0 > 1:
+            at_ty = at_ty[np.searchsorted(y[gone], ty[at_ty], "right") > np.searchsorted(y_end[gone], ty[at_ty], "right")]
+        if not len(at_ty):
+            continue
+        a, b = lows[at_ty], highs[at_ty]
+        if distinct:
+            # a row counts from its ty until eps more or its keyword's next row
+            mine = own[by_code].nonzero()[0]
+            k, start, end = code[mine], code_from[mine], code_until[mine]
+            same = (k[1:] == k[:-1]).nonzero()[0]
+            end[same] = np.minimum(end[same], start[same + 1])
+            score = np.cumsum(np.bincount(start, minlength=len(ty) + 1) - np.bincount(end, minlength=len(ty) + 1))[at_ty].astype(float)
+        else:
+            score = 0.0
+            for v in [w] if terms is None else terms:
+                np.cumsum(np.where(own, v, 0.0), out=sums[1:])
+                score = score + (sums[b] - sums[a])
+        fits = (~(score < to.cut - slack) if slack else score >= to.cut) if not distinct else score >= to.cut
+        if not fits.any():
+            continue
+        np.cumsum(own, out=count[1:])
+        a, b = count[a], count[b]
+        fits = (fits & (b > a)).nonzero()[0]
+        if not len(fits):
+            continue
+        own = own.nonzero()[0]
+        a, b, score = a[fits], b[fits], score[fits]
+        if not distinct and terms is None:  # weights too far apart for running sums without rounding: one by one, points in order
+            pw = w[own]
+            score = np.array([pw[l:h].sum() for l, h in zip(a, b, strict=True)])
+            keep = (score >= to.cut).nonzero()[0]
+            if not len(keep):
+                continue
+            a, b, score = a[keep], b[keep], score[keep]
+        py = y[own]
+        to.add(score, middles(x[own], a, b), (py[a] + py[b - 1]) / 2)
+        if isinstance(to, Every) and to.size >= STEP:
+            yield to.taken()
+
+
+def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, theta: float, part: int = 0, parts: int = 1, distinct: bool = False) -> Arrays:
+    """Scores and centres of a cell's windows of at least theta; part: which of its corners' columns are taken."""
+    to = Every(theta)
+    found = [*sweep(x, y, w, i, j, at, eps, to, part, parts, distinct), to.taken()]
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def blocks(weights: DataFrame, eps: float, theta: float, distinct: bool, only: DataFrame | None = None) -> DataFrame:
+    """The points of each 2-by-2 block that may reach theta (or those of ``only``), dealt to tasks, sorted."""
+    if only is None:
+        cells = bounds.upper_bounds(bounds.cell_sums(weights, eps, distinct)).where(F.col("ub") >= theta)
+        cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int").alias("parts"))
+    else:
+        cells = F.broadcast(only.select("ci", "cj", "parts"))
     step = F.sequence(F.lit(0), F.lit(1))
     spread = hash_cells(weights, eps).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
     spread = spread.withColumns({"ci": F.col("i") + F.col("di"), "cj": F.col("j") + F.col("dj")}).drop("di", "dj")
     dealt = spread.join(cells, ["ci", "cj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spark = weights.sparkSession  # a stated number: small rows, long work, so partitions are not to be put together
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j").repartition(tasks, "ci", "cj", "part").sortWithinPartitions("ci", "cj", "part", "lon", "lat", "w")
+
+
+def solver(eps: float, to: Callable[[tuple[int, int]], Every | Best | CellTops], distinct: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sweeps blocks that come one after the other; one that a batch cuts is kept for the next."""
 
-    ordered = dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j").repartition("ci", "cj", "part").sortWithinPartitions("ci", "cj", "part", "lon", "lat", "w")
+    def swept(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = (int(rows["ci"][0]), int(rows["cj"][0]))
+        taker = to(at)
+        for last, found in chain(((False, f) for f in sweep(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, taker, int(rows["part"][0]), int(rows["parts"][0]), distinct)), [(True, None)]):
+            found = taker.taken() if last else found
+            own = [np.full(len(found[0]), c) for c in at] if names[0] == "ci" else []
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *found)], names=names)
 
     def solve(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come one after the other; one that a batch cuts is kept for the next."""
-        rest: dict[str, np.ndarray] = {}
+        rest: list[dict[str, np.ndarray]] = []
         for frame in chain(frames, [None]):
-            if frame is not None:
-                columns = {n: frame.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(frame.schema.names)}
-                rest = {n: np.concatenate([rest[n], c]) if rest else c for n, c in columns.items()}
-            if not rest:
+            if frame is not None and frame.num_rows:
+                rest.append({n: frame.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(frame.schema.names)})
+                ends = [rest[0], rest[-1]]
+                if all(ends[0][n][0] == ends[1][n][-1] for n in ("ci", "cj", "part")):
+                    continue  # one block so far
+            if not rest or frame is not None and not frame.num_rows:
                 continue
-            ci, cj, part = rest["ci"], rest["cj"], rest["part"]
+            rows = {n: np.concatenate([r[n] for r in rest]) for n in rest[0]}
+            ci, cj, part = rows["ci"], rows["cj"], rows["part"]
             edges = np.flatnonzero((ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1]) | (part[1:] != part[:-1])) + 1
             starts = np.concatenate([[0], edges])
             ends = np.append(edges, len(ci)) if frame is None else edges
-            found = [best_of_block({n: c[a:b] for n, c in rest.items()}, eps, theta, form) for a, b in zip(starts, ends, strict=False)]
-            rest = {n: c[starts[-1] :] for n, c in rest.items()}
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["score", "lon", "lat"])
+            rest = [{n: c[starts[-1] :] for n, c in rows.items()}]
+            for a, b in zip(starts, ends, strict=False):
+                yield from swept({n: c[a:b] for n, c in rows.items()})
 
-    found = ordered.mapInArrow(solve, WINDOWS)
+    return solve
+
+
+def candidates(weights: DataFrame, eps: float, theta: float = 0.0, distinct: bool = False) -> DataFrame:
+    """score, lon, lat of every window of at least theta, one row for each centre (its best score).
+
+    ``distinct``: a score is the number of distinct values of w.
+    """
+    eps = float(eps)
+    found = blocks(weights, eps, theta, distinct).mapInArrow(solver(eps, lambda at: Every(theta), distinct, ["score", "lon", "lat"]), WINDOWS)
     return found.groupBy("lon", "lat").agg(F.max("score").alias("score")).select("score", "lon", "lat")
 
 
-def best_of_block(rows: dict[str, np.ndarray], eps: float, theta: float, form: Callable = kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's windows, one for each centre."""
-    at = (int(rows["ci"][0]), int(rows["cj"][0]))
-    s, lon, lat = form(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, theta, int(rows["part"][0]), int(rows["parts"][0]))
-    order = np.lexsort((-s, lat, lon))
-    s, lon, lat = s[order], lon[order], lat[order]
-    first = np.ones(len(s), bool)
-    first[1:] = (lon[1:] != lon[:-1]) | (lat[1:] != lat[:-1])
-    return s[first], lon[first], lat[first]
+def cell_tops(weights: DataFrame, eps: float) -> DataFrame:
+    """i, j, top: the best window's score in each cell of centres; blocks hand on four scores at most."""
+    eps = float(eps)
+    found = blocks(weights, eps, float("-inf"), False).mapInArrow(solver(eps, lambda at: CellTops(at, eps), False, ["top", "i", "j"]), "top double, i bigint, j bigint")
+    return found.groupBy("i", "j").agg(F.max("top").alias("top"))
+
+
+def best_of_blocks(weights: DataFrame, eps: float, theta: float, n: int, answers: list[tuple[float, float, float]] = (), distinct: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """ci, cj, score, lon, lat, r: the n best windows with a corner in each cell (one for each centre) that conflict with no answer, and their ranks.
+
+    ``only``: the cells asked for, ci, cj and parts.
+    """
+    eps, taken = float(eps), np.array([(x, y) for _, x, y in answers]).reshape(-1, 2)
+    found = blocks(weights, eps, theta, distinct, only).mapInArrow(solver(eps, lambda at: Best(theta, n, taken, eps), distinct, ["ci", "cj", "score", "lon", "lat"]), BLOCK_WINDOWS)
+    found = found.groupBy("ci", "cj", "lon", "lat").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("ci", "cj").orderBy(F.desc("score"), "lon", "lat")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
 
 
 def at_resolution(found: DataFrame, resolution: float) -> DataFrame:

@@ -268,8 +268,7 @@ def window_candidates(spark, sf_dir):
 @query(f"WITH {_candidates(EMB, EMB_EPS)} SELECT CAST(floor(cx / {D(EMB_EPS)}) AS BIGINT) AS i, CAST(floor(cy / {D(EMB_EPS)}) AS BIGINT) AS j, max(s) AS top FROM cand GROUP BY 1, 2")
 def border_top1(spark, sf_dir):
     """The exact best window of each cell of centres."""
-    found = windows.candidates(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
-    return bounds.best_of_cells(found, EMB_EPS)
+    return windows.cell_tops(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
 
 
 @query(_greedy(EMB, EMB_EPS, 10))
