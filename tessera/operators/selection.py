@@ -6,6 +6,7 @@ score descending, then lon, then lat, everywhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -86,9 +87,10 @@ class Blocks:
         n = min(n, 16)
         found = checkpoint(windows.best_of_blocks(weights, eps, theta, n, distinct=distinct))
         first = found.where("r = 1").orderBy(F.desc("score"), "lon", "lat", "ci", "cj").limit(held).select("ci", "cj")
-        self.asked: dict[tuple[int, int], int] = {}
+        #: All that is not listed of a block comes after this; None: nothing is left.
+        self.ends: dict[tuple[int, int], tuple[float, float, float] | None] = {}
         self.rows: dict[tuple[int, int], list[Region]] = {}
-        self._hold(found.join(F.broadcast(first), ["ci", "cj"]), n)
+        self._hold(found.join(F.broadcast(first), ["ci", "cj"]), n, theta)
         self.complete = len(self.rows) < held
         #: What is worse than this may have better ones in blocks that are not held.
         self.bar = None if self.complete else max(self.order(rows[0]) for rows in self.rows.values())
@@ -98,16 +100,17 @@ class Blocks:
     def order(r: Region) -> tuple[float, float, float]:
         return (-r[0], r[1], r[2])
 
-    def _hold(self, found: DataFrame, n: int) -> None:
+    def _hold(self, found: DataFrame, n: int, floor: float) -> None:
         for r in found.select("ci", "cj", "score", "lon", "lat").collect():
             self.rows.setdefault((r["ci"], r["cj"]), []).append((r["score"], r["lon"], r["lat"]))
         for at, rows in self.rows.items():
-            if at not in self.asked:
-                self.asked[at] = n
+            if at not in self.ends:
                 rows.sort(key=self.order)
+                self.ends[at] = self.order(rows[-1]) if len(rows) == n else (-floor, math.inf, math.inf) if floor > self.theta else None
 
-    def ask(self, cells: list[tuple[int, int]], answers: list[Region], n: int) -> None:
-        """The n best windows of these blocks that conflict with no answer."""
+    def ask(self, cells: list[tuple[int, int]], answers: list[Region], n: int, floor: float | None = None) -> None:
+        """The n best windows of these blocks, of at least a score, that conflict with no answer."""
+        floor = self.theta if floor is None else max(floor, self.theta)
         spark = self.weights.sparkSession
         if self.sizes is None:
             held = spark.createDataFrame(list(self.rows), "i bigint, j bigint")
@@ -115,9 +118,9 @@ class Blocks:
             self.sizes = {(r["i"], r["j"]): r["m"] for r in sums.collect()}
         for at in cells:
             self.rows[at] = []
-            del self.asked[at]
+            del self.ends[at]
         only = [(*at, -(-self.sizes[at] // windows.FEW_SPLIT)) for at in cells]
-        self._hold(windows.best_of_blocks(self.weights, self.eps, self.theta, n, answers, self.distinct, spark.createDataFrame(only, "ci bigint, cj bigint, parts int")), n)
+        self._hold(windows.best_of_blocks(self.weights, self.eps, floor, n, answers, self.distinct, spark.createDataFrame(only, "ci bigint, cj bigint, parts int")), n, floor)
 
     def free(self, answers: list[Region], n: int) -> list[Region]:
         """The n best windows that conflict with no answer."""
@@ -133,16 +136,16 @@ class Blocks:
                         best[r[1:]] = r
             found = sorted(best.values(), key=self.order)[:n]
             end = self.order(found[-1]) if len(found) == n else None
-            stale = [at for at, rows in self.rows.items() if len(rows) == self.asked[at] and (len(open_[at]) < len(rows) or len(rows) < n) and (end is None or self.order(rows[-1]) < end)]
+            stale = [at for at, last in self.ends.items() if last is not None and len(open_[at]) < n and (end is None or last < end)]
             if not stale:
                 return found
-            self.ask(stale, answers, n)
+            self.ask(stale, answers, n, None if end is None else found[-1][0])
 
     def rounds(self, k: int) -> list[Region]:
         """Greedy's k picks by elimination: each round picks every window that is the best of all blocks it may touch."""
         picked = Chosen(self.eps)
         while True:
-            lost = [at for at, rows in self.rows.items() if len(rows) == self.asked[at] and not any(map(picked.free, rows))]
+            lost = [at for at, rows in self.rows.items() if self.ends[at] is not None and not any(map(picked.free, rows))]
             if lost:
                 self.ask(lost, picked.rows, 1)
             open_ = {at: best for at, rows in self.rows.items() if (best := next(filter(picked.free, rows), None)) is not None}

@@ -127,13 +127,15 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
     For one tx, points in order of y are a range for each ty: a score is a difference of running sums, and centres come
     from the range's ends and its least and largest x.  Only such (tx, ty) are formed where a point comes or goes on
     either axis: any other window holds the points of one of them, further left or down, in its cell or another.
-    Yields where ``to`` holds many, and leaves the rest there.
+    Between two columns no score rises by more than the weight that comes (or, below 0, goes): columns that can't reach
+    ``to.cut`` from the last one's best are passed over.  Yields where ``to`` holds many, and leaves the rest there.
     """
     order = np.lexsort((x, y))
     x, y, w, i, j = x[order], y[order], w[order], i[order], j[order]
     x_end, y_end = x + eps, y + eps
     event = np.where(i == at[0], x, np.where(i == at[0] - 1, x_end, np.nan))
-    tx = np.unique(event[~np.isnan(event)])[part::parts]
+    tx = np.unique(event[~np.isnan(event)])
+    tx = tx[len(tx) * part // parts : len(tx) * (part + 1) // parts]
     by_event = np.argsort(event, kind="stable")  # y stays in order for each of them
     first, last = (np.searchsorted(event[by_event], tx, side) for side in ("left", "right"))
     # ty with the point that comes or goes there, and the range of the block's points in reach
@@ -150,8 +152,14 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
     else:
         terms = exact_terms(w)
         slack = 0.0 if terms is not None else 1e-9 * float(np.abs(w).sum())
-    sums, count = np.zeros(len(x) + 1), np.zeros(len(x) + 1, int)
+        rise = np.append(0.0, np.cumsum(np.maximum(np.where(i == at[0], w, -w), 0.0)[by_event]))
+        doubt = 1e-9 * float(np.abs(w).sum())
+    sums, count, need = np.zeros(len(x) + 1), np.zeros(len(x) + 1, int), -np.inf
     for t, e0, e1 in zip(tx, first, last, strict=True):
+        if not distinct and rise[e1] < need:
+            continue
+        if distinct and isinstance(to, Best) and to.last is not None and to.cut > code[-1] and t - eps > to.last[1]:
+            break  # nothing has more values than the block, and all centres to come are further right
         own = (x <= t) & (x_end > t)
         # only ty for which a point that comes or goes at t is in reach
         gone = by_event[e0:e1]
@@ -174,6 +182,12 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
             for v in [w] if terms is None else terms:
                 np.cumsum(np.where(own, v, 0.0), out=sums[1:])
                 score = score + (sums[b] - sums[a])
+            if np.isfinite(doubt) and score.max() < to.cut:  # else the next column may reach it too
+                every = 0.0
+                for v in [w] if terms is None else terms:
+                    np.cumsum(np.where(own, v, 0.0), out=sums[1:])
+                    every = every + (sums[highs] - sums[lows])
+                need = rise[e1] + (to.cut - float(every.max())) - doubt
         fits = (~(score < to.cut - slack) if slack else score >= to.cut) if not distinct else score >= to.cut
         if not fits.any():
             continue
