@@ -71,24 +71,6 @@ class Best:
         return self.rows
 
 
-class CellTops:
-    """Takes the best score of each cell of centres; a block's centres are in its own four cells."""
-
-    def __init__(self, at: tuple[int, int], eps: float):
-        self.at, self.eps, self.cut, self.tops = at, eps, -np.inf, np.full(4, np.nan)
-
-    def add(self, s: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> None:
-        cell = 2 * (np.floor(lon / self.eps).astype(int) - self.at[0] + 1) + np.floor(lat / self.eps).astype(int) - self.at[1] + 1
-        for c in range(4):
-            if (cell == c).any():
-                self.tops[c] = np.fmax(self.tops[c], s[cell == c].max())
-        self.cut = -np.inf if np.isnan(self.tops).any() else float(self.tops.min())
-
-    def taken(self) -> Arrays:
-        have = np.flatnonzero(~np.isnan(self.tops))
-        return self.tops[have], self.at[0] - 1 + have // 2, self.at[1] - 1 + have % 2
-
-
 def exact_terms(w: np.ndarray) -> list[np.ndarray] | None:
     """Terms whose sums are w and whose running sums have no rounding, so scores don't depend on any order; None where two are too few."""
     terms, rest = [], w
@@ -121,7 +103,7 @@ def middles(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, to: Every | Best | CellTops, part: int = 0, parts: int = 1, distinct: bool = False) -> Iterator[Arrays]:
+def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, at: tuple[int, int], eps: float, to: Every | Best, part: int = 0, parts: int = 1, distinct: bool = False) -> Iterator[Arrays]:
     """Hands a cell's windows of at least ``to.cut`` to ``to``, by a sweep over tx; part: which of its corners' columns are taken.
 
     For one tx, points in order of y are a range for each ty: a score is a difference of running sums, and centres come
@@ -229,22 +211,18 @@ def blocks(weights: DataFrame, eps: float, theta: float, distinct: bool, only: D
     spread = hash_cells(weights, eps).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
     spread = spread.withColumns({"ci": F.col("i") + F.col("di"), "cj": F.col("j") + F.col("dj")}).drop("di", "dj")
     dealt = spread.join(cells, ["ci", "cj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spark = weights.sparkSession  # a stated number: small rows, long work, so partitions are not to be put together
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j").repartition(tasks, "ci", "cj", "part").sortWithinPartitions("ci", "cj", "part", "lon", "lat", "w")
+    return to_tasks(dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j"), "ci", "cj", "part", "lon", "lat", "w")
 
 
-def solver(eps: float, to: Callable[[tuple[int, int]], Every | Best | CellTops], distinct: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sweeps blocks that come one after the other; one that a batch cuts is kept for the next."""
+def to_tasks(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of ci, cj, part in one task each, in order; a stated number: small rows, long work, so partitions are not to be put together."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "ci", "cj", "part").sortWithinPartitions(*order)
 
-    def swept(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        at = (int(rows["ci"][0]), int(rows["cj"][0]))
-        taker = to(at)
-        for last, found in chain(((False, f) for f in sweep(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, taker, int(rows["part"][0]), int(rows["parts"][0]), distinct)), [(True, None)]):
-            found = taker.taken() if last else found
-            own = [np.full(len(found[0]), c) for c in at] if names[0] == "ci" else []
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *found)], names=names)
+
+def each_block(swept: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hands on the rows of blocks (ci, cj, part) that come one after the other; one that a batch cuts is kept for the next."""
 
     def solve(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[dict[str, np.ndarray]] = []
@@ -268,6 +246,21 @@ def solver(eps: float, to: Callable[[tuple[int, int]], Every | Best | CellTops],
     return solve
 
 
+def solver(eps: float, to: Callable[[tuple[int, int]], Every | Best], distinct: bool, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sweeps blocks."""
+
+    def swept(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = (int(rows["ci"][0]), int(rows["cj"][0]))
+        taker = to(at)
+        for last, found in chain(((False, f) for f in sweep(*(rows[c] for c in ("lon", "lat", "w", "i", "j")), at, eps, taker, int(rows["part"][0]), int(rows["parts"][0]), distinct)), [(True, None)]):
+            found = taker.taken() if last else found
+            own = [np.full(len(found[0]), c) for c in at] if names[0] == "ci" else []
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *found)], names=names)
+
+    return each_block(swept)
+
+
 def candidates(weights: DataFrame, eps: float, theta: float = 0.0, distinct: bool = False) -> DataFrame:
     """score, lon, lat of every window of at least theta, one row for each centre (its best score).
 
@@ -278,13 +271,6 @@ def candidates(weights: DataFrame, eps: float, theta: float = 0.0, distinct: boo
     return found.groupBy("lon", "lat").agg(F.max("score").alias("score")).select("score", "lon", "lat")
 
 
-def cell_tops(weights: DataFrame, eps: float) -> DataFrame:
-    """i, j, top: the best window's score in each cell of centres; blocks hand on four scores at most."""
-    eps = float(eps)
-    found = blocks(weights, eps, float("-inf"), False).mapInArrow(solver(eps, lambda at: CellTops(at, eps), False, ["top", "i", "j"]), "top double, i bigint, j bigint")
-    return found.groupBy("i", "j").agg(F.max("top").alias("top"))
-
-
 def best_of_blocks(weights: DataFrame, eps: float, theta: float, n: int, answers: list[tuple[float, float, float]] = (), distinct: bool = False, only: DataFrame | None = None) -> DataFrame:
     """ci, cj, score, lon, lat, r: the n best windows with a corner in each cell (one for each centre) that conflict with no answer, and their ranks.
 

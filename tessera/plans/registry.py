@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera import engine
 from tessera.functions import render
 from tessera.model import RegionQuery
-from tessera.operators import bounds, filters, grid, scoring, windows
+from tessera.operators import bounds, centres, filters, grid, scoring, windows
 from tessera.sources import poi
 from tessera.streaming import grid as stream_grid
 
@@ -268,7 +268,7 @@ def window_candidates(spark, sf_dir):
 @query(f"WITH {_candidates(EMB, EMB_EPS)} SELECT CAST(floor(cx / {D(EMB_EPS)}) AS BIGINT) AS i, CAST(floor(cy / {D(EMB_EPS)}) AS BIGINT) AS j, max(s) AS top FROM cand GROUP BY 1, 2")
 def border_top1(spark, sf_dir):
     """The exact best window of each cell of centres."""
-    return windows.cell_tops(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
+    return centres.cell_tops(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
 
 
 @query(_greedy(EMB, EMB_EPS, 10))
