@@ -56,10 +56,10 @@ def blocks_for(weights: DataFrame, query: RegionQuery, n: int, written: Callable
     facts = weights.agg((F.min(F.lit(0.0)) if distinct else F.min("w")).alias("least")).first()
     if facts["least"] is None:
         return None
-    theta = float("-inf")
+    theta, sums = float("-inf"), written(bounds.cell_sums(weights, query.eps, distinct))
     if facts["least"] >= 0:
-        theta = bounds.threshold(written(bounds.cell_sums(weights, query.eps, distinct)), query.topk, query.dist).first()["theta"]
-    return selection.Blocks(weights, query.eps, theta, query.topk if query.dist else 1, n, distinct, written)
+        theta = bounds.threshold(sums, query.topk, query.dist).first()["theta"]
+    return selection.Blocks(weights, sums, query.eps, theta, query.topk if query.dist else 1, n, distinct, written)
 
 
 def top_regions(points: DataFrame, query: RegionQuery) -> DataFrame:

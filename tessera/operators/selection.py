@@ -81,11 +81,11 @@ class Blocks:
     windows don't tell the next best is asked again, for windows that conflict with no answer.
     """
 
-    def __init__(self, weights: DataFrame, eps: float, theta: float, k: int, n: int, distinct: bool, checkpoint: Callable[[DataFrame], DataFrame]):
-        self.weights, self.eps, self.theta, self.distinct, self.checkpoint = weights, float(eps), theta, distinct, checkpoint
+    def __init__(self, weights: DataFrame, sums: DataFrame, eps: float, theta: float, k: int, n: int, distinct: bool, checkpoint: Callable[[DataFrame], DataFrame]):
+        self.weights, self.sums, self.eps, self.theta, self.distinct, self.checkpoint = weights, sums, float(eps), theta, distinct, checkpoint
         held = 16 * (k - 1) + 4 * n
         n = min(n, 16)
-        found = checkpoint(windows.best_of_blocks(weights, eps, theta, n, distinct=distinct))
+        found = checkpoint(windows.best_of_blocks(weights, eps, theta, n, distinct=distinct, sums=sums))
         first = found.where("r = 1").orderBy(F.desc("score"), "lon", "lat", "ci", "cj").limit(held).select("ci", "cj")
         #: All that is not listed of a block comes after this; None: nothing is left.
         self.ends: dict[tuple[int, int], tuple[float, float, float] | None] = {}
@@ -101,11 +101,13 @@ class Blocks:
         return (-r[0], r[1], r[2])
 
     def _hold(self, found: DataFrame, n: int, floor: float) -> None:
+        best: dict[tuple[int, int], dict[tuple[float, float], float]] = {}
         for r in found.select("ci", "cj", "score", "lon", "lat").collect():
-            self.rows.setdefault((r["ci"], r["cj"]), []).append((r["score"], r["lon"], r["lat"]))
-        for at, rows in self.rows.items():
+            scores = best.setdefault((r["ci"], r["cj"]), {})
+            scores[r["lon"], r["lat"]] = max(r["score"], scores.get((r["lon"], r["lat"]), r["score"]))
+        for at in [*self.rows.keys(), *best.keys() - self.rows.keys()]:
             if at not in self.ends:
-                rows.sort(key=self.order)
+                rows = self.rows[at] = sorted(((s, x, y) for (x, y), s in best.get(at, {}).items()), key=self.order)[:n]
                 self.ends[at] = self.order(rows[-1]) if len(rows) == n else (-floor, math.inf, math.inf) if floor > self.theta else None
 
     def ask(self, cells: list[tuple[int, int]], answers: list[Region], n: int, floor: float | None = None) -> None:
@@ -114,13 +116,13 @@ class Blocks:
         spark = self.weights.sparkSession
         if self.sizes is None:
             held = spark.createDataFrame(list(self.rows), "i bigint, j bigint")
-            sums = bounds.upper_bounds(bounds.cell_sums(self.weights, self.eps, self.distinct)).join(F.broadcast(held), ["i", "j"])
+            sums = bounds.upper_bounds(self.sums).join(F.broadcast(held), ["i", "j"])
             self.sizes = {(r["i"], r["j"]): r["m"] for r in sums.collect()}
         for at in cells:
             self.rows[at] = []
             del self.ends[at]
         only = [(*at, -(-self.sizes[at] // windows.FEW_SPLIT)) for at in cells]
-        self._hold(windows.best_of_blocks(self.weights, self.eps, floor, n, answers, self.distinct, spark.createDataFrame(only, "ci bigint, cj bigint, parts int")), n, floor)
+        self._hold(windows.best_of_parts(self.weights, self.eps, floor, n, answers, self.distinct, only), n, floor)
 
     def free(self, answers: list[Region], n: int) -> list[Region]:
         """The n best windows that conflict with no answer."""

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.operators import bounds
 from tessera.operators.grid import hash_cells
 
-#: Windows handed on at once; points of a block beyond which its work is dealt to several tasks, and the same where few blocks are asked for.
-STEP, SPLIT, FEW_SPLIT = 1_000_000, 2048, 256
+#: Windows handed on at once; rows of a block beyond which its work is dealt to several tasks, the same where a row is a keyword of a point, and where few blocks are asked for.
+STEP, SPLIT, KEYWORD_SPLIT, FEW_SPLIT = 1_000_000, 2048, 8192, 256
 WINDOWS, BLOCK_WINDOWS = "score double, lon double, lat double", "ci bigint, cj bigint, score double, lon double, lat double"
 Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -110,7 +110,8 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
     from the range's ends and its least and largest x.  Only such (tx, ty) are formed where a point comes or goes on
     either axis: any other window holds the points of one of them, further left or down, in its cell or another.
     Between two columns no score rises by more than the weight that comes (or, below 0, goes): columns that can't reach
-    ``to.cut`` from the last one's best are passed over.  Yields where ``to`` holds many, and leaves the rest there.
+    ``to.cut`` from the last one's best are passed over; so are, for distinct keywords, those with fewer, and where no window can
+    have more than ``to`` has, those that hold points too far right for a centre further left.  Yields where ``to`` holds many, and leaves the rest there.
     """
     order = np.lexsort((x, y))
     x, y, w, i, j = x[order], y[order], w[order], i[order], j[order]
@@ -128,9 +129,12 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
     lows, highs = np.searchsorted(y_end, ty, "right"), np.searchsorted(y, ty, "right")
     from_, until = np.searchsorted(ty, y, "left"), np.searchsorted(ty, y_end, "left")
     if distinct:
-        code = np.unique(w, return_inverse=True)[1]
-        by_code = np.lexsort((y, code))
-        code, code_from, code_until = code[by_code], from_[by_code], until[by_code]
+        value = pa.array(w).dictionary_encode().indices.to_numpy()
+        by_code = np.lexsort((y, value))
+        code, code_from, code_until = value[by_code], from_[by_code], until[by_code]
+        if to.cut > code[-1] + 1:
+            return  # the whole block has fewer values
+        doubt = 1e-9 * eps + 1e-14 * float(np.abs(x).max())
     else:
         terms = exact_terms(w)
         slack = 0.0 if terms is not None else 1e-9 * float(np.abs(w).sum())
@@ -140,15 +144,24 @@ def sweep(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndar
     for t, e0, e1 in zip(tx, first, last, strict=True):
         if not distinct and rise[e1] < need:
             continue
-        if distinct and isinstance(to, Best) and to.last is not None and to.cut > code[-1] and t - eps > to.last[1]:
-            break  # nothing has more values than the block, and all centres to come are further right
-        own = (x <= t) & (x_end > t)
+        own, far = (x <= t) & (x_end > t), None
+        if distinct and isinstance(to, Best) and to.last is not None and to.cut > code[-1]:
+            # nothing has more values than the block, so centres must be further left: such a window holds no point too far right
+            far = own & (x > 2 * to.last[1] - t + eps + doubt)
+            out = far.nonzero()[0]
+            if t - eps > to.last[1] or len(out) and y[out[0]] <= ty[0] and y_end[out[-1]] > ty[-1] and (y_end[out[:-1]] >= y[out[1:]]).all():
+                break  # each ty has one in reach, and there are only more of them from here on
+        if distinct and np.count_nonzero(np.bincount(value[own])) < to.cut:
+            continue
         # only ty for which a point that comes or goes at t is in reach
         gone = by_event[e0:e1]
         l, h = from_[gone[0]], until[gone].max()
         at_ty = own[source[l:h]].nonzero()[0] + l
         if e1 - e0 > 1:
             at_ty = at_ty[np.searchsorted(y[gone], ty[at_ty], "right") > np.searchsorted(y_end[gone], ty[at_ty], "right")]
+        if far is not None and len(at_ty):
+            np.cumsum(far, out=count[1:])
+            at_ty = at_ty[count[lows[at_ty]] == count[highs[at_ty]]]
         if not len(at_ty):
             continue
         a, b = lows[at_ty], highs[at_ty]
@@ -200,25 +213,29 @@ def kernel(x: np.ndarray, y: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.nda
     return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
-def blocks(weights: DataFrame, eps: float, theta: float, distinct: bool, only: DataFrame | None = None) -> DataFrame:
-    """The points of each 2-by-2 block that may reach theta (or those of ``only``), dealt to tasks, sorted."""
+def blocks(weights: DataFrame, eps: float, theta: float, distinct: bool, only: list[tuple[int, int, int]] | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """The points of each 2-by-2 block that may reach theta (or those of ``only``), dealt to tasks, sorted; sums: of cells, where they are there already."""
     if only is None:
-        cells = bounds.upper_bounds(bounds.cell_sums(weights, eps, distinct)).where(F.col("ub") >= theta)
-        cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / SPLIT)).cast("int").alias("parts"))
-    else:
-        cells = F.broadcast(only.select("ci", "cj", "parts"))
+        cells = bounds.upper_bounds(bounds.cell_sums(weights, eps, distinct) if sums is None else sums).where(F.col("ub") >= theta)
+        split = KEYWORD_SPLIT if distinct else SPLIT
+        cells = cells.select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.greatest(F.lit(1), F.ceil(F.col("m") / split)).cast("int").alias("parts"))
+    elif len(only) > 256:
+        cells = F.broadcast(weights.sparkSession.createDataFrame(only, "ci bigint, cj bigint, parts int"))
+    else:  # as literals: less of a job
+        asked = F.array(*(F.struct(F.lit(i).cast("bigint").alias("ci"), F.lit(j).cast("bigint").alias("cj"), F.lit(parts).alias("parts")) for i, j, parts in only))
+        cells = F.broadcast(weights.sparkSession.range(1).select(F.inline(asked)))
     step = F.sequence(F.lit(0), F.lit(1))
     spread = hash_cells(weights, eps).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
     spread = spread.withColumns({"ci": F.col("i") + F.col("di"), "cj": F.col("j") + F.col("dj")}).drop("di", "dj")
     dealt = spread.join(cells, ["ci", "cj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return to_tasks(dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j"), "ci", "cj", "part", "lon", "lat", "w")
+    return to_tasks(dealt.select("ci", "cj", "part", "parts", "lon", "lat", "w", "i", "j"), "ci", "cj", "part", "lon", "lat", "w", most=None if only is None else sum(parts for *_, parts in only))
 
 
-def to_tasks(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of ci, cj, part in one task each, in order; a stated number: small rows, long work, so partitions are not to be put together."""
+def to_tasks(rows: DataFrame, *order: str, most: int | None = None) -> DataFrame:
+    """Rows of ci, cj, part in one task each, in order; a stated number (no more than blocks, if that is known): small rows, long work, so partitions are not to be put together."""
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "ci", "cj", "part").sortWithinPartitions(*order)
+    return rows.repartition(tasks if most is None else min(tasks, most), "ci", "cj", "part").sortWithinPartitions(*order)
 
 
 def each_block(swept: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -271,14 +288,18 @@ def candidates(weights: DataFrame, eps: float, theta: float = 0.0, distinct: boo
     return found.groupBy("lon", "lat").agg(F.max("score").alias("score")).select("score", "lon", "lat")
 
 
-def best_of_blocks(weights: DataFrame, eps: float, theta: float, n: int, answers: list[tuple[float, float, float]] = (), distinct: bool = False, only: DataFrame | None = None) -> DataFrame:
-    """ci, cj, score, lon, lat, r: the n best windows with a corner in each cell (one for each centre) that conflict with no answer, and their ranks.
+def best_of_parts(weights: DataFrame, eps: float, theta: float, n: int, answers: list[tuple[float, float, float]] = (), distinct: bool = False, only: list[tuple[int, int, int]] | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """ci, cj, score, lon, lat: the n best windows with a corner in each part of a cell's columns that conflict with no answer.
 
-    ``only``: the cells asked for, ci, cj and parts.
+    ``only``: the cells asked for and their parts.
     """
     eps, taken = float(eps), np.array([(x, y) for _, x, y in answers]).reshape(-1, 2)
-    found = blocks(weights, eps, theta, distinct, only).mapInArrow(solver(eps, lambda at: Best(theta, n, taken, eps), distinct, ["ci", "cj", "score", "lon", "lat"]), BLOCK_WINDOWS)
-    found = found.groupBy("ci", "cj", "lon", "lat").agg(F.max("score").alias("score"))
+    return blocks(weights, eps, theta, distinct, only, sums).mapInArrow(solver(eps, lambda at: Best(theta, n, taken, eps), distinct, ["ci", "cj", "score", "lon", "lat"]), BLOCK_WINDOWS)
+
+
+def best_of_blocks(weights: DataFrame, eps: float, theta: float, n: int, distinct: bool = False, sums: DataFrame | None = None) -> DataFrame:
+    """ci, cj, score, lon, lat, r: the n best windows with a corner in each cell (one for each centre), and their ranks."""
+    found = best_of_parts(weights, eps, theta, n, distinct=distinct, sums=sums).groupBy("ci", "cj", "lon", "lat").agg(F.max("score").alias("score"))
     order = Window.partitionBy("ci", "cj").orderBy(F.desc("score"), "lon", "lat")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
 
