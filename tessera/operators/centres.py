@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.operators import bounds, filters, windows
 from tessera.operators.grid import hash_cells
 
-#: Points around a cell beyond which its work is dealt to several tasks, each with its own strip of centres.
-SPLIT = 16384
+#: Points around a cell beyond which its work is dealt to several tasks, each with its own strip of centres; the same where all windows are formed, and windows of a strip held at once.
+SPLIT, EVERY_SPLIT, HELD = 16384, 4096, 1_000_000
 
 
 class Around:
@@ -75,6 +75,9 @@ class Around:
     def ends(self, part: int, parts: int) -> tuple[float, float]:
         return (self.at[0] + part / parts) * self.eps, (self.at[0] + (part + 1) / parts) * self.eps
 
+    def ends_lat(self) -> tuple[float, float]:
+        return self.at[1] * self.eps, (self.at[1] + 1) * self.eps
+
 
 def top(points: Around, part: int = 0, parts: int = 1) -> float | None:
     """The best score of the windows with centres in a strip of the cell; None without any.
@@ -84,7 +87,7 @@ def top(points: Around, part: int = 0, parts: int = 1) -> float | None:
     the cell don't count towards a column's best, since no window with such a centre holds them.
     """
     west, east = points.ends(part, parts)
-    south, north = points.at[1] * points.eps, (points.at[1] + 1) * points.eps
+    south, north = points.ends_lat()
     low, high = points.columns(west, east)
     if low >= high:
         return None
@@ -133,6 +136,129 @@ def top(points: Around, part: int = 0, parts: int = 1) -> float | None:
     return best
 
 
+def strip_windows(points: Around, theta: float, part: int, parts: int) -> windows.Arrays | None:
+    """Scores and centres of a strip's windows of at least theta, a set of points once; None if there are too many for one strip.
+
+    As in ``windows.sweep``, only those (tx, ty) are formed where a point comes or goes on either axis.  Rows where
+    points that are in reach of all the strip's columns are too far up or down for the cell are left out first, then
+    the points that are in reach of no column or row.
+    """
+    none, eps, doubt = (np.zeros(0),) * 3, points.eps, points.doubt
+    west, east = points.ends(part, parts)
+    south, north = points.ends_lat()
+    low, high = points.columns(west, east)
+    if low >= high:
+        return none
+    tx = points.tx[low:high]
+    always = np.append(0, np.cumsum((points.x <= tx[0]) & (points.x_end > tx[-1])))
+    too_low, too_high = np.searchsorted(points.y, 2 * south - points.ty - doubt), np.searchsorted(points.y, 2 * north - points.ty + eps + doubt, "right")
+    rows = (always[np.maximum(points.lows, too_low)] == always[points.lows]) & (always[np.minimum(points.highs, too_high)] == always[points.highs])
+    rows &= points.lows < points.highs
+    if not rows.any():
+        return none
+    ty, lows, highs = points.ty[rows], points.lows[rows], points.highs[rows]
+    kept = (points.x_end >= tx[0]) & (points.x <= tx[-1])
+    kept[: np.searchsorted(points.y_end, ty[0])] = kept[highs[-1] :] = False
+    new = np.append(0, np.cumsum(kept))
+    lows, highs, source = new[lows], new[highs], points.source[rows]
+    source = np.where(kept[source], new[source], new[-1])  # one place more, for points that are in no column
+    x, y, w, x_end, y_end = (v[kept] for v in (points.x, points.y, points.w, points.x_end, points.y_end))
+    event = points.point[points.first[low] : points.last[high - 1]]
+    column = np.repeat(np.arange(high - low), points.last[low:high] - points.first[low:high])[kept[event]]
+    event = new[event[kept[event]]]
+    if not len(event):
+        return none
+    columns, first = np.unique(column, return_index=True)
+    last = np.append(first[1:], len(column))
+    terms = windows.exact_terms(points.w)
+    terms = terms if terms is None else [v[kept] for v in terms]
+    by_x, by_end = np.argsort(x, kind="stable"), np.argsort(x_end, kind="stable")
+    come, gone = np.searchsorted(x[by_x], tx[columns], "right"), np.searchsorted(x_end[by_end], tx[columns], "right")
+    from_, until = np.searchsorted(ty, y, "left"), np.searchsorted(ty, y_end, "left")
+    own, count, found, size = np.zeros(len(x) + 1, bool), np.zeros(len(x) + 1, int), [], 0
+    came = went = 0
+    for c, e0, e1 in zip(range(len(columns)), first, last, strict=True):
+        own[by_x[came : come[c]]] = True
+        own[by_end[went : gone[c]]] = False
+        came, went = come[c], gone[c]
+        events = event[e0:e1]
+        l, h = from_[events[0]], until[events[-1]]
+        if l >= h:
+            continue
+        at_ty = own[source[l:h]].nonzero()[0] + l
+        if e1 - e0 > 1:
+            at_ty = at_ty[np.searchsorted(y[events], ty[at_ty], "right") > np.searchsorted(y_end[events], ty[at_ty], "right")]
+        np.cumsum(own[:-1], out=count[1:])
+        a, b = count[lows[at_ty]], count[highs[at_ty]]
+        fits = a < b
+        if not fits.all():
+            a, b = a[fits], b[fits]
+        if not len(a):
+            continue
+        here = own.nonzero()[0]
+        py = y[here]
+        lat = (py[a] + py[b - 1]) / 2
+        if not (lat.min() > south + doubt and lat.max() < north - doubt):
+            fits = np.floor(lat / eps) == points.at[1]
+            a, b, lat = a[fits], b[fits], lat[fits]
+            if not len(a):
+                continue
+        lon = windows.middles(x[here], a, b)
+        if not (lon.min() > west + doubt and lon.max() < east - doubt):
+            fits = points.strip(lon, parts) == part
+            a, b, lat, lon = a[fits], b[fits], lat[fits], lon[fits]
+        if terms is None:  # weights too far apart for running sums without rounding: one by one, points in order
+            pw = w[here]
+            score = np.array([pw[l:h].sum() for l, h in zip(a, b, strict=True)])
+        else:
+            score = 0.0
+            for v in terms:
+                sums = np.append(0.0, np.cumsum(v[here]))
+                score = score + (sums[b] - sums[a])
+        if theta > -np.inf:
+            fits = score >= theta
+            score, lon, lat = score[fits], lon[fits], lat[fits]
+        found.append((score, lon, lat))
+        size += len(score)
+        if size > HELD and parts < 1 << 30:
+            return None
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else none
+
+
+def once(score: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> windows.Arrays:
+    """The best score of each centre: rows that share a hash with another one are compared, all others stay as they are."""
+    lon, lat = lon + 0.0, lat + 0.0  # 0 and -0 are one
+    mixed = lon.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lat.view(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    in_order = np.sort(mixed)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
+    if not len(twice):
+        return score, lon, lat
+    ends = np.zeros(1 << 16, bool)
+    ends[twice & np.uint64(0xFFFF)] = True
+    some = ends[mixed & np.uint64(0xFFFF)].nonzero()[0]
+    shared = np.zeros(len(mixed), bool)
+    shared[some[np.isin(mixed[some], twice)]] = True
+    s, x, y = score[shared], lon[shared], lat[shared]
+    order = np.lexsort((s, y, x))  # NaN last: it is the largest
+    s, x, y = s[order], x[order], y[order]
+    last = np.append((x[1:] != x[:-1]) | (y[1:] != y[:-1]), True)
+    return tuple(np.concatenate([v[~shared], o[last]]) for v, o in zip((score, lon, lat), (s, x, y), strict=True))
+
+
+def every(points: Around, theta: float = float("-inf"), part: int = 0, parts: int = 1) -> Iterator[windows.Arrays]:
+    """Scores and centres of the windows of at least theta with centres in a strip of the cell, one for each centre, strip by strip."""
+    strips = max(1, int((len(points.x) / 9) ** 2 * 8 / HELD / parts))
+    todo = [(strips * part + n, strips * parts) for n in reversed(range(strips))]
+    while todo:
+        n, of = todo.pop()
+        found = strip_windows(points, theta, n, of)
+        if found is None:
+            todo += [(2 * n + 1, 2 * of), (2 * n, 2 * of)]
+        elif len(found[0]):
+            yield once(*found)
+
+
 def dealt(weights: DataFrame, eps: float, split: int) -> DataFrame:
     """The points around each cell that may have centres, one row for each place, dealt to tasks, sorted."""
     around = F.sequence(F.lit(-1), F.lit(1))
@@ -155,3 +281,15 @@ def cell_tops(weights: DataFrame, eps: float) -> DataFrame:
 
     found = dealt(weights, eps, SPLIT).mapInArrow(windows.each_block(solve), "top double, i bigint, j bigint")
     return found.groupBy("i", "j").agg(F.max("top").alias("top"))
+
+
+def candidates(weights: DataFrame, eps: float, theta: float = float("-inf")) -> DataFrame:
+    """score, lon, lat of every window of at least theta, one row for each centre (its best score)."""
+    eps = float(eps)
+
+    def solve(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        points = Around(rows, (int(rows["ci"][0]), int(rows["cj"][0])), eps)
+        for found in every(points, theta, int(rows["part"][0]), int(rows["parts"][0])):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["score", "lon", "lat"])
+
+    return dealt(weights, eps, EVERY_SPLIT).mapInArrow(windows.each_block(solve), windows.WINDOWS)

@@ -89,17 +89,16 @@ def exact_terms(w: np.ndarray) -> list[np.ndarray] | None:
 def middles(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Middles of the least and the largest of v[a:b] for each a < b, by tables over lengths that are powers of two."""
     level = np.frexp((b - a).astype(float))[1] - 1
-    out, low, high = np.empty(len(a)), v, v
+    out, ends = np.empty(len(a)), np.stack([v, -v])  # the largest is the least of the negative ones
     for n, count in enumerate(np.bincount(level)):
-        if count == len(a):
-            c = b - (1 << n)
-            return (np.minimum(low[a], low[c]) + np.maximum(high[a], high[c])) / 2
         if count:
-            here = (level == n).nonzero()[0]
+            here = (level == n).nonzero()[0] if count < len(a) else slice(None)
             l, h = a[here], b[here] - (1 << n)
-            out[here] = (np.minimum(low[l], low[h]) + np.maximum(high[l], high[h])) / 2
-        if len(low) > 1 << n:
-            low, high = np.minimum(low[: -(1 << n)], low[1 << n :]), np.maximum(high[: -(1 << n)], high[1 << n :])
+            out[here] = (np.minimum(ends[0][l], ends[0][h]) - np.minimum(ends[1][l], ends[1][h])) / 2
+            if count == len(a):
+                break
+        if ends.shape[1] > 1 << n:
+            ends = np.minimum(ends[:, : -(1 << n)], ends[:, 1 << n :])
     return out
 
 

@@ -262,7 +262,7 @@ def _regions(spark, sf_dir, view=poi.embedding_points, eps: float = EMB_EPS, **g
 
 @query(f"WITH {_candidates(EMB, EMB_EPS)} SELECT s AS score, cx AS lon, cy AS lat FROM cand")
 def window_candidates(spark, sf_dir):
-    return windows.candidates(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
+    return centres.candidates(filters.weighted(poi.embedding_points(spark, sf_dir), "score"), EMB_EPS)
 
 
 @query(f"WITH {_candidates(EMB, EMB_EPS)} SELECT CAST(floor(cx / {D(EMB_EPS)}) AS BIGINT) AS i, CAST(floor(cy / {D(EMB_EPS)}) AS BIGINT) AS j, max(s) AS top FROM cand GROUP BY 1, 2")
