@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,26 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 #: Spark removes a finished execution's shuffle files where this is set; they would stay until the driver collects garbage.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch on its way to a Python worker: for every task the JVM holds buffers of some batches outside its heap, and so does the worker.
+_BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with ``values`` set, and afterwards as it was."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """While it holds, batches to Python workers have few bytes, however long the rows."""
+    return settings(spark, _BATCH_BYTES)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -44,12 +65,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Once it stands nothing reads the shuffles that made it, so their files go at once.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, label), spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    path = new_path(spark, label)
+    with settings(spark, {_FREE_SHUFFLES: "true"}), small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.work_path = path
     return found

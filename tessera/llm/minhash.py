@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common, components
+from tessera.llm import common, components, pieces
 from tessera.llm import words as W
 
 SHINGLE, PERCENT = 5, 75
@@ -89,6 +89,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, n, the set's key (k1, k2) and its buckets; a written table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()  # the worker may have packed another corpus
         for frame in common.slices(frames, _DOCS):
             sets = W.shingle_sets(frame.column("text").to_pylist(), SHINGLE)
             keys = np.array([[W.mix(s).sum(), W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)

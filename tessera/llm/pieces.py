@@ -174,6 +174,11 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     return PieceEncoder(whole, split if find else None)
 
 
+def forget() -> None:
+    """Let go of this worker's encoders and their memos, hundreds of MB, before work that encodes nothing."""
+    library_encoder.cache_clear()
+
+
 def list_of_ids(ids: list[bytes]) -> pa.ListArray:
     """An Arrow list<int32> of ids given as bytes."""
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
