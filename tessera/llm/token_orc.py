@@ -45,31 +45,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
 
     ranges = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_rows), "orc.create.index": "true", "compression": "zstd"}
-    ranges.withColumn("part", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
+    with common.small_batches(docs.sparkSession):
+        ranges.withColumn("part", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, part, row, n_tokens, ids_crc32 of stored rows."""
+    pieces.forget()  # the worker may have written them
+    for batch in common.slices(batches):
+        ids = batch.column("ids")
+        ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
+        crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
+
+
 def offsets(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
     Starts are sums within a range plus the totals of the ranges before it.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            ids = batch.column("ids")
-            ends, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
-            crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
-
-    stored = read_tokens(spark, path)
+    stored = read_tokens(spark, path).select("doc_id", "part", "row", "ids")
+    # a few numbers a document: ids are read once, in small batches whatever the caller's session says
+    rows = common.written(stored.mapInArrow(digests, "doc_id bigint, part int, row bigint, n_tokens bigint, ids_crc32 bigint"), "token-digests")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = stored.select("doc_id", "part", "row", "ids").mapInArrow(digest, "doc_id bigint, part int, row bigint, n_tokens bigint, ids_crc32 bigint")
     rows = rows.withColumn("local", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     # base has one row per range, MOST_RANGES at most
     return rows.join(F.broadcast(base), F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

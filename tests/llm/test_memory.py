@@ -4,11 +4,13 @@ import pytest
 
 pytest.importorskip("tessera.llm")
 
+import public_tokenizers  # noqa: E402
 import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import common  # noqa: E402
+from tessera.llm import common, pieces, token_orc  # noqa: E402
 
+WORD = public_tokenizers.path("word_bpe_49k.json")
 ROWS, LETTERS = 3000, 8000
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -24,3 +26,10 @@ def test_long_rows_reach_workers_in_small_batches(spark):
     assert sum(r["n"] for r in found) == ROWS
     assert max(r["size"] for r in found) < 8 << 20 < ROWS * LETTERS
     assert spark.conf.get(BYTES) == before
+
+
+def test_reading_tokens_lets_go_of_the_encoder():
+    pieces.library_encoder(WORD).encode("some words")
+    assert pieces.library_encoder.cache_info().currsize
+    assert list(token_orc.digests(iter([]))) == []
+    assert pieces.library_encoder.cache_info().currsize == 0
