@@ -4,6 +4,9 @@ A text is cut before every single space between two non-space characters.  The
 split patterns of the supported tokenizers never join characters across such a
 cut and never look past it, so the ids of the pieces, put together, are the ids
 of the text.  A piece's ids are computed once per worker while it stays in the memo.
+
+Where no pretoken holds white space, a whole column of texts is cut at all of it by Arrow, which
+also finds the column's distinct words and puts their ids in place: Python sees each distinct word once.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,6 +34,8 @@ MEAN, LONGEST = 16, 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the split pattern of byte-level BPE files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the split pattern of lower-casing files; no match of it holds white space or depends on any.
+WORD_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 def byte_of_char() -> dict[str, int]:
@@ -45,10 +51,12 @@ class PieceEncoder:
     ``encode_pieces`` maps strings to such bytes, ``encode_words`` pieces without their leading space, none
     of which touches more white space.  The memo is keyed by the latter.
     Old entries are forgotten by generation: a miss costs time and changes nothing.
+    ``apart``: white space gives no ids and changes none, so words may be cut at all of it.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None, memo: int = MEMO):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None, memo: int = MEMO, apart: bool = False):
         self.encode_pieces = encode_pieces
+        self.apart = apart
         self.encode_words = encode_words or (lambda words: encode_pieces([" " + w for w in words]))
         self.memo = memo
         self.young: dict[str, bytes] = {}
@@ -85,13 +93,26 @@ class PieceEncoder:
             ids = map(self.young.__getitem__, rest)
         return (self.encode_pieces([first])[0] if first else b"") + b"".join(ids)
 
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each of ``texts``, none of which is null, as an Arrow list<int32>."""
+        if not self.apart:
+            return list_of_ids([self.encode(t) for t in texts.to_pylist()])
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = strings(coded.dictionary)
+        pieces = set(distinct)
+        if missing := pieces.difference(self.young):
+            self._learn(pieces, missing)
+        placed = list_of_ids(list(map(self.young.__getitem__, distinct))).take(coded.indices)
+        return pa.ListArray.from_arrays(placed.offsets.take(words.offsets), placed.values)
+
 
 #: Characters up to here are split, composed and lower-cased here: their classes and mappings are the same in every Unicode version in use.
 LATIN_END = "\u0370"
 
 
-def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
-    """How a tokenizer file's texts fall into pretokens: all matches of its pattern, and whether it lower-cases.
+def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool, bool] | None:
+    """How a tokenizer file's texts fall into pretokens: all matches of its pattern, whether it lower-cases, and whether white space is in no match.
 
     Where it lower-cases, the space before a word is in no pretoken; elsewhere it begins the word's first.
     Letters with punctuation behind them are two pretokens under either pattern.
@@ -100,12 +121,13 @@ def split_rule(spec: dict) -> tuple[Callable[[str], list[str]], bool] | None:
     pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     kinds = [n.get("type") for n in (normal or {}).get("normalizers", [normal] if normal else [])]
     if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kinds:
-        return regex.compile(SPLIT).findall, False
+        return regex.compile(SPLIT).findall, False, False
     steps = pre.get("pretokenizers", [])
     if [p.get("type") for p in steps] == ["Split", "ByteLevel"] and kinds == ["NFC", "Replace", "Lowercase"]:
         cut, byte_level = steps
         if cut["behavior"] == "Removed" and cut["invert"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
-            return regex.compile(cut["pattern"]["Regex"]).findall, True
+            pattern = cut["pattern"]["Regex"]
+            return regex.compile(pattern).findall, True, pattern == WORD_SPLIT
     return None
 
 
@@ -124,7 +146,7 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     tokenizer.encode_special_tokens = special_as_text
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    find, lower = split_rule(spec) or (None, False)
+    find, lower, apart = split_rule(spec) or (None, False, False)
     special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
     to_char = {b: c for c, b in byte_of_char().items()}
     space, model = to_char[32], tokenizer.model.tokenize
@@ -171,7 +193,7 @@ def library_encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
             found.append(ids)
         return found
 
-    return PieceEncoder(whole, split if find else None)
+    return PieceEncoder(whole, split if find else None, apart=apart)
 
 
 def forget() -> None:
@@ -179,6 +201,13 @@ def forget() -> None:
     library_encoder.cache_clear()
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The strings of an array of words without spaces, made by one split of them all."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0].as_py().split(" ")
+
+
 def list_of_ids(ids: list[bytes]) -> pa.ListArray:
     """An Arrow list<int32> of ids given as bytes."""
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)

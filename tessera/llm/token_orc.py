@@ -28,25 +28,33 @@ ROWS_A_RANGE, MOST_RANGES = 8192, 65536
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, part int, row bigint"
 
 
+def ended(ids: pa.ListArray, end_id: int) -> pa.ListArray:
+    """The lists, each with ``end_id`` behind it."""
+    ends = np.asarray(ids.offsets)
+    values = np.insert(np.asarray(ids.values), ends[1:], end_id)
+    return pa.ListArray.from_arrays(pa.array(ends + np.arange(len(ends), dtype=np.int32)), pa.array(values))
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Stored rows of a range's doc_id, text and part, in order. Batches are taken whole: the more texts, the fewer distinct words for each."""
+    encoder, row = pieces.library_encoder(tokenizer), 0
+    for batch in batches:
+        ids = ended(encoder.encode_column(batch.column("text")), end_id)
+        place = pa.array(np.arange(row, row + len(ids)))
+        row += len(ids)
+        rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), ids.value_lengths().cast(pa.int64()), ids, batch.column("part"), place], names=["doc_id", "n_tokens", "ids", "part", "row"])
+        yield from common.slices(iter([rows]))  # the JVM holds the ids of so many rows only
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 64 << 20, index_rows: int = 1000) -> None:
     """Encode all texts and write them as ORC under ``path``, a file or more for each range of doc_id."""
     parts = max(1, min(MOST_RANGES, -(-docs.select("doc_id").count() // ROWS_A_RANGE)))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(docs))
-    last = np.array([end_id], "<u4").tobytes()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = pieces.library_encoder(tokenizer), 0
-        for batch in common.slices(batches):
-            ids = [encoder.encode(t) + last for t in batch.column("text").to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            place = pa.array(np.arange(row, row + len(ids)))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pieces.list_of_ids(ids), batch.column("part"), place], names=["doc_id", "n_tokens", "ids", "part", "row"])
-
     ranges = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_rows), "orc.create.index": "true", "compression": "zstd"}
+    rows = ranges.withColumn("part", F.spark_partition_id()).mapInArrow(lambda batches: encoded(batches, tokenizer, end_id), SCHEMA)
     with common.small_batches(docs.sparkSession):
-        ranges.withColumn("part", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
+        rows.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("tessera.llm")
 
 import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -57,6 +58,32 @@ def test_piece_encoder_forgets_by_generation():
     assert len(encoder.young) + len(encoder.old) <= 4
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_column_of_texts_equals_library(path):
+    rng, encoder, library = random.Random(4), pieces.library_encoder(path), Tokenizer.from_file(path)
+    alphabets = ["ab the ing ", "éèñ漢🙂ß \n\t'sK", "0123.,; -_ABC", "<|endoftext|> \x85\x1c　\xa0", "İıſÅΣς \u0300\u0345a\r\x0b\x0c", "'s're don't!! ###\n\n x"]
+    texts = ["", " ", "\n", *("".join(rng.choice(chars) for _ in range(rng.randint(0, 50))) for _ in range(300) for chars in alphabets)]
+    for column in (texts, texts[:1], []):
+        found = encoder.encode_column(pa.array(column, pa.string()))
+        assert found.type == pa.list_(pa.int32())
+        assert found.to_pylist() == [e.ids for e in library.encode_batch(column, add_special_tokens=False)]
+        assert token_orc.ended(found, 2).to_pylist() == [[*ids, 2] for ids in found.to_pylist()]
+
+
+def test_token_orc_encodes_a_word_once(monkeypatch):
+    """First words and those beside line breaks too: no text takes a turn of its own through the tokenizer."""
+    texts = [f"{a} {b}.\n{a}  {b}" for a in ("one", "two", "three") for b in ("four", "five")] * 50
+    encoder, asked = pieces.library_encoder.__wrapped__(WORD), []
+    for name in ("encode_words", "encode_pieces"):
+        monkeypatch.setattr(encoder, name, lambda words, f=getattr(encoder, name): (asked.extend(words), f(words))[1])
+    monkeypatch.setattr(pieces, "library_encoder", lambda path: encoder)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "part": [0] * len(texts)})
+    found = pa.Table.from_batches(token_orc.encoded(iter([batch, batch]), WORD, 2))
+    assert found["ids"].to_pylist() == [[*library_ids(WORD, t), 2] for t in texts[:6]] * 100
+    assert found["row"].to_pylist() == list(range(2 * len(texts)))
+    assert sorted(asked) == sorted({w for t in texts for w in t.split()})
+
+
 # ---- op 1 ----
 
 
